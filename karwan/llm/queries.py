@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karwan.llm import looks
+from karwan.llm import ann, looks
 from karwan.runtime import table
 
 
@@ -22,6 +22,12 @@ def p3_plain(spark: SparkSession, d: str) -> DataFrame:
     return looks.changed(_names(spark, d)).select("field_name", "record_id", F.col("value").alias("typed"), "plain").distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p3_plain": p3_plain}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "product_embeddings").select(F.col("product_id").alias("id"), F.col("embedding").alias("vector"))
+    near = ann.neighbours(vectors, k=5, least=0.92, size=64)
+    return near.select(F.least("id", "other_id").alias("product_id_a"), F.greatest("id", "other_id").alias("product_id_b")).distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_plain": p3_plain}
 
 SQL: dict[str, str] = {}
