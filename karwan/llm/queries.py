@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karwan.llm import ann, looks
+from karwan.llm import ann, brands, looks
 from karwan.runtime import table
 
 
@@ -22,12 +22,30 @@ def p3_plain(spark: SparkSession, d: str) -> DataFrame:
     return looks.changed(_names(spark, d)).select("field_name", "record_id", F.col("value").alias("typed"), "plain").distinct()
 
 
+def _brands(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    brand, alias = table(spark, d, "canonical_brand"), table(spark, d, "brand_alias")
+    known = [(brand, "display_name", "id"), (brand, "slug", "id"), (alias, "raw_value", "canonical_brand_id"), (alias, "normalized_value", "canonical_brand_id")]
+    names = None
+    for t, name, key in known:
+        part = t.select(F.col(name).alias("name"), F.col(key).alias("id"))
+        names = part if names is None else names.unionByName(part)
+    return brands.assign(table(spark, d, "product"), ["brand_raw_en", "brand_raw_ar", "brand_normalized"], names)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _brands(spark, d)[0].select(F.col("record_id").alias("product_id"), F.col("canonical_id").alias("canonical_brand_id"))
+
+
+def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return _brands(spark, d)[1]
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "product_embeddings").select(F.col("product_id").alias("id"), F.col("embedding").alias("vector"))
     near = ann.neighbours(vectors, k=5, least=0.92, size=64)
     return near.select(F.least("id", "other_id").alias("product_id_a"), F.greatest("id", "other_id").alias("product_id_b")).distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_plain": p3_plain}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p3_found": p3_found, "p3_plain": p3_plain}
 
 SQL: dict[str, str] = {}
