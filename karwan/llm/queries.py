@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karwan.llm import ann, brands, looks
+from karwan.llm import ann, brands, looks, mixture
 from karwan.runtime import table
 
 
@@ -46,6 +46,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "other_id").alias("product_id_a"), F.greatest("id", "other_id").alias("product_id_b")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p3_found": p3_found, "p3_plain": p3_plain}
+def _clusters(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.members(table(spark, d, "product_embeddings").select(F.col("product_id").alias("id"), F.col("embedding").alias("vector")), size=64)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _clusters(spark, d).select("cluster_id", F.col("id").alias("product_id"))
+
+
+def p4_described(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.described(_clusters(spark, d))
+
+
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p3_found": p3_found, "p3_plain": p3_plain, "p4_found": p4_found, "p4_described": p4_described}
 
 SQL: dict[str, str] = {}
