@@ -26,7 +26,7 @@ PREFIX, CELL_ROWS = 3, 2000
 #: Rows of the bounded sample that the codebooks are fitted on.
 SAMPLE_ROWS = 20_000
 #: How far the estimate from codes may lie under the wanted cosine.
-SLACK = 0.12
+SLACK = 0.06
 PAIRS_AT_ONCE = 500_000
 
 
