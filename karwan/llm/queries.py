@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karwan.llm import ann, brands, looks, mixture
+from karwan.llm import ann, brands, looks, mixture, sentences
 from karwan.runtime import table
 
 
@@ -58,6 +58,10 @@ def p4_described(spark: SparkSession, d: str) -> DataFrame:
     return mixture.described(_clusters(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p3_found": p3_found, "p3_plain": p3_plain, "p4_found": p4_found, "p4_described": p4_described}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "documents").select("doc_id", "text")).distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p3_found": p3_found, "p3_plain": p3_plain, "p4_found": p4_found, "p4_described": p4_described, "p9_found": p9_found}
 
 SQL: dict[str, str] = {}
