@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karwan.llm import ann, brands, looks, mixture, sentences
-from karwan.runtime import table
+from karwan.llm import ann, brands, looks, mixing, mixture, packing, sentences, tokens
+from karwan.runtime import cut, table
 
 
 def _names(spark: SparkSession, d: str) -> DataFrame:
@@ -62,6 +62,28 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents").select("doc_id", "text")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p3_found": p3_found, "p3_plain": p3_plain, "p4_found": p4_found, "p4_described": p4_described, "p9_found": p9_found}
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    # a table of settings: one row for each kind of container
+    kinds = [(r.container_kind, r.capacity_tokens) for r in table(spark, d, "container_size").collect()]
+    items = cut(tokens.count_tokens(table(spark, d, "documents").select("doc_id", "text")))
+    return packing.pack(items, kinds)
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.report(p7_packed(spark, d))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    # a table of settings: one row for each source that is asked for
+    targets = [(r.source, r.target_share, r.max_repeats) for r in table(spark, d, "mix_target").collect()]
+    docs = table(spark, d, "documents").select("doc_id", "source", F.md5("text").alias("text_key"), "text")
+    return mixing.mix(cut(tokens.count_tokens(docs)), targets)
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p8_mixture(spark, d), table(spark, d, "mix_target"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p3_found": p3_found, "p3_plain": p3_plain, "p4_found": p4_found, "p4_described": p4_described, "p7_packed": p7_packed, "p7_report": p7_report, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found}
 
 SQL: dict[str, str] = {}
