@@ -130,10 +130,11 @@ def mix(documents: DataFrame, targets: list[tuple[str, float, int]], total: int
     for p, x in stretches:
         by_pattern.setdefault(tuple(p), []).append(x)
     plan = spark.createDataFrame([(list(p), x) for p, x in by_pattern.items()], "pattern array<string>, takes array<struct<use:int,source:string,start:long,stop:long>>")
-    # one row for every set of sources; texts that are long for the shortest stretch come last, so that its ends stay fine
+    # one row for every set of sources; texts that are long for the shortest stretch come later, the longest
+    # last, so that the ends stay fine
     keyed = texts.join(F.broadcast(plan), "pattern").withColumn("h", F.xxhash64("text_key", F.lit(seed)))
-    long = F.col("n_tokens") * FINE > F.array_min(F.transform("takes", lambda x: x["stop"] - x["start"]))
-    keyed = keyed.withColumn("bucket", F.pmod("h", F.lit(BUCKETS)) + F.when(long, BUCKETS).otherwise(0))
+    fill = F.col("n_tokens") * FINE / F.array_min(F.transform("takes", lambda x: x["stop"] - x["start"]))
+    keyed = keyed.withColumn("bucket", F.pmod("h", F.lit(BUCKETS)) + F.greatest(F.ceil(F.log2(fill)), F.lit(0)) * BUCKETS)
     sums = keyed.groupBy("pattern", "bucket").agg(F.sum("n_tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select("pattern", "bucket", before.alias("base"))
