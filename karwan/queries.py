@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from karwan.operators import hierarchy, references
+from karwan.plans import catalogue, flows, texts
 from karwan.runtime import table
 
 
@@ -74,7 +75,7 @@ judged AS (
   FROM refs r LEFT JOIN rows_ w ON w.f = r.f AND w.k = r.k LEFT JOIN gone g ON g.f = r.f AND g.k = r.k)
 """
 
-QUERIES = {"p5_found": p5_found, "p5_paths": p5_paths, "p5_descendants": p5_descendants, "p5_rings": p5_rings, "p6_found": p6_found, "p6_counts": p6_counts}
+QUERIES = {"p5_found": p5_found, "p5_paths": p5_paths, "p5_descendants": p5_descendants, "p5_rings": p5_rings, "p6_found": p6_found, "p6_counts": p6_counts} | texts.QUERIES | catalogue.QUERIES | flows.QUERIES
 
 SQL = {
     "p5_found": _TREE_SQL + "SELECT id AS category_id, root_id, CAST(depth AS BIGINT) AS tree_depth FROM tree",
@@ -83,4 +84,4 @@ SQL = {
     "p5_descendants": _TREE_SQL + ", up AS (SELECT id AS descendant_id, parent AS ancestor_id, CAST(1 AS BIGINT) AS distance FROM n WHERE id IN (SELECT id FROM down WHERE depth > 0) UNION ALL SELECT u.descendant_id, n.parent, u.distance + 1 FROM up u JOIN n ON n.id = u.ancestor_id WHERE n.id IN (SELECT id FROM down WHERE depth > 0)) SELECT ancestor_id, descendant_id, distance FROM up",
     "p6_found": _ORPHAN_SQL + "SELECT DISTINCT link_id, ref_field, ref_state FROM judged WHERE ref_state IS NOT NULL",
     "p6_counts": _ORPHAN_SQL + "SELECT ref_field, strftime(seen, '%Y-%m') AS month, ref_state, count(*) AS n_refs FROM judged WHERE ref_state IS NOT NULL GROUP BY 1, 2, 3",
-}
+} | texts.SQL | catalogue.SQL | flows.SQL
