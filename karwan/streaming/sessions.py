@@ -76,14 +76,15 @@ def session_windows(stream: DataFrame, key: str, ts: str, late: str = "1 hour",
     return marked.where(F.col(key).isNotNull()).groupBy(F.col(key), w.alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def stream_repeats(stream: DataFrame, key: str, ts: str, text: str) -> DataFrame:
+def stream_repeats(stream: DataFrame, key: str, ts: str, text: str, late: str = "1 hour") -> DataFrame:
     """(key, n_messages, n_blocked) so far after each batch: repeats() with its state kept between the batches of a stream.
 
-    Inside a batch events are taken in the order of their times; the state times out with the session.
+    Inside a batch events are taken in the order of their times; a key's state goes when the watermark has passed its session.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    rows = stream.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).cast("string").alias("key"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000).alias("at"), F.coalesce(F.lower(F.btrim(F.regexp_replace(F.col(text), r"\s+", " "))), F.lit("")).alias("text"))
+    marked = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    rows = marked.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(ts).alias("when"), F.col(key).cast("string").alias("key"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000).alias("at"), F.coalesce(F.lower(F.btrim(F.regexp_replace(F.col(text), r"\s+", " "))), F.lit("")).alias("text"))
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -96,7 +97,7 @@ def stream_repeats(stream: DataFrame, key: str, ts: str, text: str) -> DataFrame
             run, no = _repeat_step(run, x, t)
             seen, blocked = seen + 1, blocked + no
         state.update((*run, seen, blocked))
-        state.setTimeoutDuration(IDLE_S * 1000)
+        state.setTimeoutTimestamp(max(int(whole["at"].max() * 1000), state.getCurrentWatermarkMs()) + IDLE_S * 1000)
         yield pd.DataFrame({"key": [k[0]], "n_messages": [seen], "n_blocked": [blocked]})
 
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, n_messages long, n_blocked long", "last string, since double, n long, seen long, blocked long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, n_messages long, n_blocked long", "last string, since double, n long, seen long, blocked long", "update", GroupStateTimeout.EventTimeTimeout)
