@@ -30,7 +30,7 @@ GOES_ON = re.compile("と(?!ても)|って|という|[，、,؛;–—]|然后|
 # Particles that close a Thai sentence.
 THAI_CLOSERS = re.compile("(?:ค่ะ|คะ|ครับ|ครับผม|นะ|จ้ะ|จ้า|ค่า|ฮะ|ล่ะ|เลย)$")
 
-_BLANK_LINE = re.compile(r"(?:\r\n|[\n\r \x85])(?:[^\S\n\r  \x85]*(?:\r\n|[\n\r \x85]))+| ")
+_BLANK_LINE = re.compile("(?>\r\n|[\n\r \x85])(?:[^\\S\n\r \x85]*(?>\r\n|[\n\r \x85]))+| ")
 _LINE = re.compile(r"[^\n\r \x85]+")
 _ITEM = re.compile(r"[^\S\n]*(?:[-*•‣◦▪–—·●○✓☐+]|\(?(?:\d{1,3}|[٠-٩]{1,3}|[०-९]{1,3})[.)、．]|\(?[a-zA-Z]\))[^\S\n]+\S")
 _BULLET = re.compile(r"[^\S\n]*[-*•‣◦▪–—·●○✓☐+]")
