@@ -20,13 +20,17 @@ from pyspark.sql.window import Window
 from karwan.llm.quantiser import Quantiser
 from karwan.runtime import cut, width
 
-STAGES, CODEWORDS, BEAM = 6, 128, 16
-#: Codes that name a cell; a cell with more than CELL_ROWS vectors is named by all codes, and beyond that split into blocks.
-PREFIX, CELL_ROWS = 3, 2000
+STAGES, CODEWORDS, BEAM = 10, 128, 8
+#: A cell is named by so many codes at most.
+DEEPEST = 6
+#: Cells that a vector is looked up in: its own and the best others of the beam.
+PROBES = 6
+#: Vectors that one meets in its own cell on average, at most; cells with more than CELL_ROWS vectors are made finer.
+MEET, CELL_ROWS = 1500, 20_000
 #: Rows of the bounded sample that the codebooks are fitted on.
 SAMPLE_ROWS = 20_000
 #: How far the estimate from codes may lie under the wanted cosine.
-SLACK = 0.06
+SLACK = 0.1
 PAIRS_AT_ONCE = 500_000
 
 
@@ -54,33 +58,40 @@ def sample(vectors: DataFrame, size: int, rows: int = SAMPLE_ROWS, seed: int = 1
     return matrix(chosen.toArrow()["vector"], size)[1]
 
 
-def _encoder(q: Quantiser, size: int):
+def names(codes: np.ndarray) -> np.ndarray:
+    """Codes along the last axis as one number."""
+    out = np.zeros(codes.shape[:-1], np.int64)
+    for s in range(codes.shape[-1]):
+        out = out * CODEWORDS + codes[..., s]
+    return out
+
+
+def cells(own: np.ndarray, first: np.ndarray, most: int = PROBES) -> pa.Array:
+    """For each row its own cell, then the other distinct ones of the beam's first stages, best first, `most` in all at most."""
+    level = first.shape[-1]
+    all_ = np.concatenate([names(own[:, :level])[:, None], names(first)], 1)
+    fresh = np.ones(all_.shape, bool)
+    for j in range(1, all_.shape[1]):
+        fresh[:, j] = (all_[:, :j] != all_[:, j : j + 1]).all(1)
+    fresh &= np.cumsum(fresh, 1) <= most
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(fresh.sum(1))]).astype(np.int32)), pa.array(all_[fresh]))
+
+
+def _encoder(q: Quantiser, size: int, level: int):
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, x = matrix(b.column(1), size)
             if not len(at):
                 continue
-            codes, _ = q.encode(x, BEAM)
-            key = np.zeros(codes.shape[:2], np.int64)
-            for s in range(PREFIX):
-                key = key * CODEWORDS + codes[:, :, s]
-            deep = key.copy()
-            for s in range(PREFIX, STAGES):
-                deep = deep * CODEWORDS + codes[:, :, s]
-            order = np.argsort(deep, axis=1, kind="stable")
-            first = np.ones_like(deep, bool)
-            ordered = np.take_along_axis(deep, order, 1)
-            np.put_along_axis(first, order, np.concatenate([np.ones((len(deep), 1), bool), ordered[:, 1:] != ordered[:, :-1]], 1), 1)
-            counts = first.sum(1)
-            norms = np.linalg.norm(q.decode(codes[:, 0]), axis=1).astype(np.float32)
+            codes, first = q.encode(x, BEAM, early=level)
             own = np.ascontiguousarray(codes[:, 0])
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0).take(pa.array(at)),
                     pa.array([hashlib.blake2b(v.tobytes(), digest_size=12).digest() for v in x], pa.binary()),
                     pa.array([c.tobytes() for c in own], pa.binary()),
-                    pa.array(norms),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(deep[first])),
+                    pa.array(np.linalg.norm(q.decode(own), axis=1).astype(np.float32)),
+                    cells(own, first),
                 ],
                 ["id", "digest", "codes", "norm", "cells"],
             )
@@ -88,6 +99,27 @@ def _encoder(q: Quantiser, size: int):
     return encode
 
 
+def _finer(q: Quantiser, level: int):
+    """(rep, codes, norm, cells) again with cells of that level, from the vectors that the codes stand for."""
+
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                own = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, STAGES)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), cells(own, q.encode(q.decode(own), 4 * BEAM, early=level)[1], 4 * BEAM)], ["rep", "codes", "norm", "cells"])
+
+    return encode
+
+
+def level_for(codes: np.ndarray, n: int) -> int:
+    """How many codes name a cell: as few as leave a vector at most MEET of n vectors in its own cell, judged by a sample's codes."""
+    for level in range(DEEPEST):
+        share = np.unique(names(codes[:, :level]), return_counts=True)[1] / max(len(codes), 1)
+        if (share * share).sum() * n <= MEET:
+            return level
+    return DEEPEST
+
+
 def _pairs_in_cells(q: Quantiser, least: float):
     """Pairs of one cell whose estimated cosine is at least `least`; rows are (cell, block, id, codes, norm, kept)."""
 
@@ -156,10 +188,12 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = 0.92, size: int =
     member gets the k copies with the smallest ids. Exact copies are searched once, as a class.
     """
     vectors = vectors.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") == size)).select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<float>").alias("vector"))
-    q = Quantiser.train(sample(vectors, size), STAGES, CODEWORDS)
-    encoded = cut(vectors.mapInArrow(_encoder(q, size), "id long, digest binary, codes binary, norm float, cells array<long>"))
+    some = sample(vectors, size)
+    q = Quantiser.train(some, STAGES, CODEWORDS)
+    level = level_for(q.encode(some, BEAM)[0][:, 0], vectors.count())
+    encoded = cut(vectors.mapInArrow(_encoder(q, size, level), "id long, digest binary, codes binary, norm float, cells array<long>"))
     classes = cut(encoded.groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.first("codes").alias("codes"), F.first("norm").alias("norm"), F.first("cells").alias("cells")))
-    pairs = _candidates(classes, q, least - SLACK)
+    pairs = _candidates(classes, q, level, least - SLACK)
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     # one row an id: a row delivered twice would double its pairs
     needed = vectors.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("vector").alias("vector"))
@@ -169,27 +203,41 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = 0.92, size: int =
     return _best(exact, encoded, classes, k)
 
 
-def _candidates(classes: DataFrame, q: Quantiser, least: float) -> DataFrame:
-    """(a, b), a < b: class representatives that share a cell and may reach the cosine."""
-    spark = classes.sparkSession
-    shift = CODEWORDS ** (STAGES - PREFIX)
-    prefixes = F.array_distinct(F.transform("cells", lambda x: F.floor(x / F.lit(shift)).cast("long")))
-    looked = classes.select("rep", "codes", "norm", F.posexplode(prefixes).alias("at", "cell"))
-    big = cut(looked.where("at = 0").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS).select("cell"))
-    rows = looked.withColumn("block", F.lit(0))
-    if not big.isEmpty():
-        # crowded cells are named by all codes; those that are crowded still are split into blocks that every query meets
-        deep = classes.select("rep", "codes", "norm", F.posexplode("cells").alias("at", "deep")).withColumn("cell", F.expr(f"deep div {shift}L"))
-        deep = deep.join(big, "cell", "left_semi").withColumn("cell", -1 - F.col("deep")).drop("deep")
-        blocks = deep.where("at = 0").groupBy("cell").agg(F.ceil(F.count("*") / F.lit(CELL_ROWS)).cast("int").alias("blocks")).where("blocks > 1")
-        deep = deep.join(blocks, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-        homes = deep.where("at = 0").withColumn("block", own)
-        # a kept vector also meets those that other blocks keep, as a query
-        visits = deep.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(~((F.col("at") == 0) & (F.col("block") == own))).withColumn("at", F.lit(1))
-        rows = rows.join(big, "cell", "left_anti").unionByName(homes.unionByName(visits).drop("blocks"))
-    rows = rows.select("cell", "block", F.col("rep").alias("id"), "codes", "norm", (F.col("at") == 0).alias("kept"))
-    return cut(rows.repartition(width(spark), "cell", "block").mapInArrow(_pairs_in_cells(q, least), "a long, b long").distinct())
+def _candidates(classes: DataFrame, q: Quantiser, level: int, least: float) -> DataFrame:
+    """(a, b), a < b: class representatives that share a cell and may reach the cosine.
+
+    A cell that is crowded is named by one code more, DEEPEST at most; if it still is, its vectors are split into blocks
+    and every query meets all of them, so that no pair of a cell is lost.
+    """
+    live, rows, crowded = classes.select("rep", "codes", "norm", "cells"), None, None
+    while True:
+        looked = live.select("rep", "codes", "norm", F.posexplode("cells").alias("at", "cell"))
+        if crowded is not None:  # only what lies in a cell that was crowded a level before
+            parent = F.floor(F.col("cell") / F.lit(CODEWORDS)).cast("long")
+            looked = looked.withColumn("parent", parent).join(crowded.select(F.col("cell").alias("parent")), "parent", "left_semi").drop("parent")
+        crowded = cut(looked.where("at = 0").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS))
+        part = looked.join(crowded.select("cell"), "cell", "left_anti").withColumn("block", F.lit(0))
+        done = crowded.isEmpty()
+        if not done and level == DEEPEST:
+            part, done = part.unionByName(_blocks(looked, crowded)), True
+        part = part.withColumn("level", F.lit(level))
+        rows = part if rows is None else rows.unionByName(part)
+        if done:
+            break
+        level += 1
+        inside = looked.join(crowded.select("cell"), "cell", "left_semi").select("rep", "codes", "norm").distinct()
+        live = cut(inside.mapInArrow(_finer(q, level), "rep long, codes binary, norm float, cells array<long>"))
+    rows = rows.select((F.col("cell") * (STAGES + 1) + F.col("level")).alias("cell"), "block", F.col("rep").alias("id"), "codes", "norm", (F.col("at") == 0).alias("kept"))
+    return cut(rows.repartition(width(classes.sparkSession), "cell", "block").mapInArrow(_pairs_in_cells(q, least), "a long, b long").distinct())
+
+
+def _blocks(looked: DataFrame, crowded: DataFrame) -> DataFrame:
+    sized = looked.join(crowded.select("cell", F.ceil(F.col("n") / F.lit(CELL_ROWS)).cast("int").alias("blocks")), "cell")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    homes = sized.where("at = 0").withColumn("block", own)
+    # a kept vector also meets those that other blocks keep, as a query
+    visits = sized.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(~((F.col("at") == 0) & (F.col("block") == own))).withColumn("at", F.lit(1))
+    return homes.unionByName(visits).drop("blocks")
 
 
 def _best(exact: DataFrame, encoded: DataFrame, classes: DataFrame, k: int, salts: int = 16) -> DataFrame:

@@ -7,6 +7,10 @@ from dataclasses import dataclass
 import numpy as np
 
 
+#: Stages that keep the whole beam; later ones, whose codes only refine a sum, keep a quarter.
+WIDE_STAGES = 4
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     """Lloyd's algorithm from distinct random rows; empty centroids move to the rows that lie worst."""
     if len(x) == 0:
@@ -63,24 +67,23 @@ class Quantiser:
         self.norm2 = (self.flat * self.flat).sum(1).reshape(m, k)
         self.gram = (self.flat @ self.flat.T).reshape(m, k, m * k)
 
-    def encode(self, x: np.ndarray, beam: int, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-        """Codes (n, beam, stages), best first, and their squared errors less |x|^2."""
-        m, k, _ = self.books.shape
-        codes, errors = [np.zeros((0, beam, m), np.uint8)], [np.zeros((0, beam), np.float32)]
+    def encode(self, x: np.ndarray, beam: int, block: int = 2048, early: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Codes (n, beam, stages), best first, and the beam as it stood after the first `early` stages, (n, beam, early)."""
+        m = self.books.shape[0]
+        codes, first = [np.zeros((0, beam, m), np.uint8)], [np.zeros((0, beam, early), np.uint8)]
         for at in range(0, len(x), block):
-            c, e = self._encode(x[at : at + block], beam)
-            if c.shape[1] < beam:  # fewer sums than the beam is wide: repeat the last
-                c = np.concatenate([c, np.repeat(c[:, -1:], beam - c.shape[1], 1)], 1)
-                e = np.concatenate([e, np.repeat(e[:, -1:], beam - e.shape[1], 1)], 1)
-            codes.append(c)
-            errors.append(e)
-        return np.concatenate(codes), np.concatenate(errors)
-
-    def _encode(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+            for done, c in zip((codes, first), self._encode(x[at : at + block], beam, early)):
+                if c.shape[1] < beam:  # fewer sums than the beam is wide: repeat the last
+                    c = np.concatenate([c, np.repeat(c[:, -1:], beam - c.shape[1], 1)], 1)
+                done.append(c)
+        return np.concatenate(codes), np.concatenate(first)
+
+    def _encode(self, x: np.ndarray, beam: int, early: int) -> tuple[np.ndarray, np.ndarray]:
         m, k, _ = self.books.shape
         n = len(x)
         dots = (x @ self.flat.T).reshape(n, m, k)
         codes, cost = np.zeros((n, 1, 0), np.uint8), np.zeros((n, 1), np.float32)
+        first = codes
         rows = np.arange(n)[:, None]
         for s in range(m):
             cross = np.zeros((n, codes.shape[1], k), np.float32)
@@ -90,13 +93,15 @@ class Quantiser:
             cross += (self.norm2[s] - 2 * dots[:, s])[:, None, :]
             cross += cost[:, :, None]
             total = cross.reshape(n, -1)
-            keep = min(beam, total.shape[1])
+            keep = min(beam if s < WIDE_STAGES else max(1, beam // 4), total.shape[1])
             best = np.argpartition(total, keep - 1, axis=1)[:, :keep] if keep < total.shape[1] else np.tile(np.arange(keep), (n, 1))
             values = np.take_along_axis(total, best, 1)
             order = np.argsort(values, axis=1, kind="stable")
             best, cost = np.take_along_axis(best, order, 1), np.take_along_axis(values, order, 1)
             codes = np.concatenate([codes[rows, best // k], (best % k).astype(np.uint8)[:, :, None]], 2)
-        return codes, cost
+            if s + 1 == early:
+                first = codes
+        return codes, first
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
         out = np.zeros((*codes.shape[:-1], self.books.shape[2]), np.float32)
