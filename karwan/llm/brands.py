@@ -70,13 +70,13 @@ class Matcher:
             v=values,
         )
         self.words = cut(words)
-        longest = self.sql("SELECT coalesce(max(size(w)), 1) + 1 AS words FROM {n}", n=self.names)
         # windows of words: at most as many words as the longest name has, and one more; and the value as a whole
         self.windows = cut(self.sql(
             """SELECT value, n, array_join(slice(w, i + 1, m), '') AS key, array_join(slice(w, 1, i), ' ') AS pre, array_join(slice(w, i + m + 1, size(w)), ' ') AS suf,
                  CASE WHEN m = size(w) THEN array_join(array_sort(w), '') END AS sorted
-            FROM (SELECT *, explode(sequence(0, size(w) - m)) AS i FROM (SELECT *, explode(array_union(sequence(1, least(size(w), words)), array(size(w)))) AS m FROM {w} CROSS JOIN {l}))""",
-            w=self.words, l=longest,
+            FROM (SELECT *, explode(sequence(0, size(w) - m)) AS i FROM (SELECT *, explode(array_union(sequence(1, least(size(w), words)), array(size(w)))) AS m
+              FROM (SELECT *, (SELECT coalesce(max(size(w)), 1) + 1 FROM {n}) AS words FROM {w})))""",
+            w=self.words, n=self.names,
         ))
 
     def exact(self) -> DataFrame:
