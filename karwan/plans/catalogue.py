@@ -394,10 +394,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return recommend.sizes(recommend.assign(_vectors(spark, d), _centroids(spark, d)), 10)
 
 
-@query("rec3_jn9_jn15_recommend", f"WITH {_CENTROID_SQL}, shown AS (SELECT label AS qid, vec_id AS id FROM embeddings WHERE vec_id % 50 = 0), m AS (SELECT qid, list(x ORDER BY i) AS v FROM (SELECT qid, i, avg(x) AS x FROM (SELECT s.qid, unnest(e.embedding)::DOUBLE AS x, unnest(range(len(e.embedding))) AS i FROM shown s JOIN embeddings e ON e.vec_id = s.id) GROUP BY 1, 2) GROUP BY 1), cl AS (SELECT DISTINCT s.qid, a.cluster FROM shown s JOIN assigned a USING (id)), sc AS (SELECT cl.qid, a.id, round(list_inner_product(e.embedding::DOUBLE[], m.v) / (sqrt(list_inner_product(m.v, m.v)) + 1e-9), 6) AS score FROM assigned a JOIN cl USING (cluster) JOIN m ON m.qid = cl.qid JOIN embeddings e ON e.vec_id = a.id WHERE NOT EXISTS (SELECT 1 FROM shown s WHERE s.qid = cl.qid AND s.id = a.id)) SELECT qid, id, score, r FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM sc) WHERE r <= 5")
+@query("rec3_jn9_jn15_recommend", f"WITH {_CENTROID_SQL}, shown AS (SELECT label AS qid, min(vec_id) AS id FROM embeddings GROUP BY 1 UNION SELECT label, max(vec_id) FROM embeddings GROUP BY 1), m AS (SELECT qid, list(x ORDER BY i) AS v FROM (SELECT qid, i, avg(x) AS x FROM (SELECT s.qid, unnest(e.embedding)::DOUBLE AS x, unnest(range(len(e.embedding))) AS i FROM shown s JOIN embeddings e ON e.vec_id = s.id) GROUP BY 1, 2) GROUP BY 1), cl AS (SELECT DISTINCT s.qid, a.cluster FROM shown s JOIN assigned a USING (id)), sc AS (SELECT cl.qid, a.id, round(list_inner_product(e.embedding::DOUBLE[], m.v) / (sqrt(list_inner_product(m.v, m.v)) + 1e-9), 6) AS score FROM assigned a JOIN cl USING (cluster) JOIN m ON m.qid = cl.qid JOIN embeddings e ON e.vec_id = a.id WHERE NOT EXISTS (SELECT 1 FROM shown s WHERE s.qid = cl.qid AND s.id = a.id)) SELECT qid, id, score, r FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM sc) WHERE r <= 5")
 def _(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
-    shown = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("label").alias("qid"), F.col("vec_id").alias("id"))
+    ends = table(spark, d, "embeddings").groupBy(F.col("label").alias("qid")).agg(F.min("vec_id").alias("a"), F.max("vec_id").alias("z"))
+    shown = ends.select("qid", F.explode(F.array("a", "z")).alias("id")).distinct()
     return recommend.recommend(v, recommend.assign(v, _centroids(spark, d)), shown).withColumn("score", F.round("score", 6))
 
 

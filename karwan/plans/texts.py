@@ -110,10 +110,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "category").select("id", T.strip_article(F.col("name_ar")).alias("bare"))
 
 
-@query("txt13_repeat_key", "SELECT doc_id, md5(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '))) AS key FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F\\n\\r]*')")
+@query("txt13_repeat_key", "SELECT doc_id, md5(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '))) AS key FROM documents")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*\z"))
-    return docs.select("doc_id", F.md5(T.repeat_key(F.col("text"))).alias("key"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.repeat_key(F.col("text"))).alias("key"))
 
 
 _JUNK = r"^(n/?a|none|test\d*|unbranded|default brand|\?|-|tbd|not specified)$|لا يوجد|غير محدد|بدون ماركة"
