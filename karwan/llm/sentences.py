@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from karwan.runtime import cut
+
 # Abbreviations that a sentence doesn't end with, as written before the full stop, in lower case.
 NEVER = set("mr mrs ms dr prof st sr messrs e.g i.e eg ie vs approx incl excl bzw inkl exkl evtl ggf env mme mlle mm dipl ing hr fr frau herr z.b d.h u.a p.ex c.-à-d z u d cf viz al डॉ श्री श्रीमती ดร".split()) | set("د م أ أم ص ب ت ا".split())
 # Abbreviations of which a number is a part.
@@ -43,6 +45,7 @@ _BEFORE = re.compile(r"[^\s\"“”„«»‚‘’「」『』（）()\[\]،,;:
 _THAI = re.compile("[฀-๿]")
 _OPEN = {"(": ")", "（": "）", "[": "]", "【": "】", "「": "」", "『": "』", "«": "»", "“": "”", "„": "“", "‹": "›", "《": "》", "〈": "〉", "‘": "’", "»": "«", "{": "}"}
 _BRACKETS = set("(（[【{")
+_QUOTES = re.compile("[" + re.escape("".join(sorted({'"', *_OPEN, *_OPEN.values()}))) + "]")
 #: Longest span, in boundary candidates, that the programme looks back on.
 WINDOW = 64
 
@@ -51,7 +54,8 @@ def pairs(text: str) -> dict[int, int]:
     """Matched quotation marks and brackets, opening to closing position; what stays open is left out."""
     found: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
-    for i, c in enumerate(text):
+    for m in _QUOTES.finditer(text):
+        i, c = m.start(), m[0]
         if c == '"' or c == "”" and any(x == "„" for x, _ in stack):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == ('"' if c == '"' else "„"):
@@ -83,7 +87,7 @@ class Splitter:
         self.openers, self.inner = openers, inner
 
     def split(self, text: str) -> list[tuple[int, int]]:
-        lower_typed = not any(c.isupper() for c in text)
+        lower_typed = text == text.lower()
         out: list[tuple[int, int]] = []
         at = 0
         for m in _BLANK_LINE.finditer(text):
@@ -303,7 +307,7 @@ def openers(texts: DataFrame, text_col: str = "text", least: int = 5, share: flo
     """
     blocks = texts.where(F.col(text_col).isNotNull()).select(F.explode(F.split(F.lower(text_col), r"\n\s*\n|(?<=[!?؟]) ")).alias("b"))
     words = blocks.select(F.posexplode(F.regexp_extract_all("b", F.lit(r"[\p{L}\p{M}][\p{L}\p{M}’']*"), F.lit(0))).alias("at", "word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("n"), F.count_if(F.col("at") == 0).alias("first"))
+    counts = cut(words.groupBy("word").agg(F.count("*").alias("n"), F.count_if(F.col("at") == 0).alias("first")))
     total = counts.agg(F.sum("first").alias("t")).first()["t"] or 0
     rows = counts.where((F.col("first") >= max(least, share * total)) & (F.col("first") * 5 >= F.col("n"))).select("word").collect()
     return frozenset(r.word for r in rows)
@@ -314,7 +318,7 @@ def inner_marks(texts: DataFrame, text_col: str = "text", least: int = 3, share:
     cased = texts.where(F.col(text_col).rlike(r"\p{Lu}"))
     hits = cased.select(F.explode(F.regexp_extract_all(text_col, F.lit(r"([\p{L}\p{M}]+[!?]+)\s+[\p{L}]"), F.lit(0))).alias("w"))
     parts = hits.select(F.lower(F.regexp_extract("w", r"^([\p{L}\p{M}]+)", 1)).alias("word"), F.col("w").rlike(r"\p{Ll}$").alias("small"))
-    counts = parts.groupBy("word").agg(F.count("*").alias("n"), F.count_if("small").alias("inner"))
+    counts = cut(parts.groupBy("word").agg(F.count("*").alias("n"), F.count_if("small").alias("inner")))
     total = counts.agg(F.sum("n").alias("t")).first()["t"] or 0
     rows = counts.where((F.col("inner") >= max(least, share * total)) & (F.col("inner") * 2 > F.col("n"))).select("word").collect()
     return frozenset(r.word for r in rows)
