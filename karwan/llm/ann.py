@@ -8,7 +8,6 @@ codes, stored norms and lookup tables alone; pairs that may reach the wanted cos
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from karwan.llm.quantiser import Quantiser
+from karwan.llm.quantiser import WIDE_STAGES, Quantiser
 from karwan.runtime import cut, width
 
 STAGES, CODEWORDS, BEAM = 10, 128, 8
@@ -25,7 +24,7 @@ STAGES, CODEWORDS, BEAM = 10, 128, 8
 DEEPEST = 6
 #: Cells that a vector is looked up in: its own and the best others of the beam.
 PROBES = 6
-#: Vectors that one meets in its own cell on average, at most; cells with more than CELL_ROWS vectors are made finer.
+#: Vectors that most meet in their own cell, at most; cells with more than CELL_ROWS vectors are made finer.
 MEET, CELL_ROWS = 1500, 20_000
 #: Rows of the bounded sample that the codebooks are fitted on.
 SAMPLE_ROWS = 20_000
@@ -50,12 +49,34 @@ def matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return at, (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def sample(vectors: DataFrame, size: int, rows: int = SAMPLE_ROWS, seed: int = 11) -> np.ndarray:
-    """At most about `rows` unit vectors, chosen by a hash of the id."""
-    n = vectors.count()
-    part = min(1.0, rows / max(n, 1))
-    chosen = vectors.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(math.ceil(part * 1_000_000))).select("vector")
-    return matrix(chosen.toArrow()["vector"], size)[1]
+def digests(x: np.ndarray) -> list[bytes]:
+    return [hashlib.blake2b(v.tobytes(), digest_size=12).digest() for v in x]
+
+
+def _distinct(size: int, part: float | None = None):
+    """(key, x) of unit vectors, equal for exact copies; only keys, or only the vectors whose key lies in the first `part` of all."""
+
+    def choose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, x = matrix(b.column(0), size)
+            key = np.frombuffer(b"".join(d[:8] for d in digests(x)), np.uint64)
+            key, first = np.unique(key, return_index=True)
+            if part is not None:
+                chosen = key <= part * (2.0**64 - 1)
+                key, first = key[chosen], first[chosen]
+            if len(key):
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array([x[i].tobytes() if part is not None else None for i in first], pa.binary())], ["key", "x"])
+
+    return choose
+
+
+def sample(vectors: DataFrame, size: int, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, int]:
+    """At most about `rows` distinct unit vectors, chosen by their digests, and about how many distinct ones there are."""
+    plain = vectors.select("vector")
+    n = plain.mapInArrow(_distinct(size), "key long, x binary").agg(F.approx_count_distinct("key", 0.02)).first()[0]
+    chosen = plain.mapInArrow(_distinct(size, min(1.0, rows / max(n, 1))), "key long, x binary").groupBy("key").agg(F.first("x").alias("x")).toArrow()
+    chosen = chosen.sort_by("key")["x"].to_pylist()
+    return np.frombuffer(b"".join(chosen), np.float32).reshape(-1, size), n
 
 
 def names(codes: np.ndarray) -> np.ndarray:
@@ -88,7 +109,7 @@ def _encoder(q: Quantiser, size: int, level: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0).take(pa.array(at)),
-                    pa.array([hashlib.blake2b(v.tobytes(), digest_size=12).digest() for v in x], pa.binary()),
+                    pa.array(digests(x), pa.binary()),
                     pa.array([c.tobytes() for c in own], pa.binary()),
                     pa.array(np.linalg.norm(q.decode(own), axis=1).astype(np.float32)),
                     cells(own, first),
@@ -112,12 +133,20 @@ def _finer(q: Quantiser, level: int):
 
 
 def level_for(codes: np.ndarray, n: int) -> int:
-    """How many codes name a cell: as few as leave a vector at most MEET of n vectors in its own cell, judged by a sample's codes."""
-    for level in range(DEEPEST):
-        share = np.unique(names(codes[:, :level]), return_counts=True)[1] / max(len(codes), 1)
-        if (share * share).sum() * n <= MEET:
+    """How many codes name a cell: as few as leave most of n distinct vectors at most MEET others in their own cell, judged by a sample's codes.
+
+    Most, not the average: a dense group must not deepen everybody's cells; _candidates makes the cells finer that it crowds.
+    Vectors that even the deepest cells here leave crowded don't count. The beam is still whole at WIDE_STAGES codes.
+    """
+    met = []
+    for level in range(WIDE_STAGES + 1):
+        _, cell, rows = np.unique(names(codes[:, :level]), return_inverse=True, return_counts=True)
+        met.append((rows[cell] - 1) / max(len(codes) - 1, 1) * n)
+    parted = met[-1] <= MEET
+    for level, m in enumerate(met):
+        if not parted.any() or np.median(m[parted]) <= MEET:
             return level
-    return DEEPEST
+    return WIDE_STAGES
 
 
 def _pairs_in_cells(q: Quantiser, least: float):
@@ -188,9 +217,9 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = 0.92, size: int =
     member gets the k copies with the smallest ids. Exact copies are searched once, as a class.
     """
     vectors = vectors.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") == size)).select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<float>").alias("vector"))
-    some = sample(vectors, size)
+    some, n = sample(vectors, size)
     q = Quantiser.train(some, STAGES, CODEWORDS)
-    level = level_for(q.encode(some, BEAM)[0][:, 0], vectors.count())
+    level = level_for(q.encode(some, BEAM)[0][:, 0], n)
     encoded = cut(vectors.mapInArrow(_encoder(q, size, level), "id long, digest binary, codes binary, norm float, cells array<long>"))
     classes = cut(encoded.groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.first("codes").alias("codes"), F.first("norm").alias("norm"), F.first("cells").alias("cells")))
     pairs = _candidates(classes, q, level, least - SLACK)

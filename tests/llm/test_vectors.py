@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from karwan.llm import ann, mixture
@@ -66,6 +67,25 @@ def test_many_copies_and_crowded_cells(spark, data, monkeypatch):
     assert hit >= 0.9
 
 
+def test_a_third_of_copies_leaves_the_other_cells_shallow(spark):
+    rng = np.random.default_rng(6)
+    one = unit(rng.normal(size=(7_000, 32)))
+    other = unit(one + 0.06 * rng.normal(size=one.shape))
+    x = np.concatenate([one, other, np.repeat(one[:1], 7_000, 0)]).astype(np.float32)
+    rows = spark.createDataFrame(pa.table({"id": np.arange(1, len(x) + 1), "vector": list(x)}))
+    want = {i + 1 for i in range(1, 7_000) if x[i] @ x[7_000 + i] >= 0.93}
+    got = {r.id for r in ann.neighbours(rows, 3, 0.93, 32).where("other_id = id + 7000").collect()}
+    assert len(want) > 3000 and len(want & got) / len(want) >= 0.97
+
+
+def test_a_tight_third_leaves_the_other_cells_shallow():
+    rng = np.random.default_rng(6)
+    x = unit(rng.normal(size=(14_000, 32)))
+    x = np.concatenate([x, unit(x[:1] + 0.0005 * rng.normal(size=(7_000, 32)))]).astype(np.float32)
+    codes = Quantiser.train(x, 6, ann.CODEWORDS).encode(x, ann.BEAM)[0][:, 0]
+    assert ann.level_for(codes, 234_000) == 1
+
+
 def test_blocks_of_a_cell_lose_no_pair(spark, data, monkeypatch):
     monkeypatch.setattr(ann, "CELL_ROWS", 6)
     q = Quantiser.train(data, ann.STAGES, ann.CODEWORDS)
