@@ -142,3 +142,14 @@ def test_clusters(spark):
     assert got == {i + 1: first[c] for i, c in enumerate(label) if c < 5}
     d = {r.cluster_id: r for r in mixture.described(placed, 3).collect()}
     assert d[first[0]].n_members == 400 and len(d[first[4]].typical_ids) == 3
+
+
+def test_dense_places_are_all_found(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    means = unit(rng.normal(size=(40, 64)))
+    groups = unit(np.repeat(means, 5, 0) + 0.02 * rng.normal(size=(200, 64)))
+    x = np.concatenate([unit(rng.normal(size=(6_000, 64))), groups])[rng.permutation(6_200)].astype(np.float32)
+    monkeypatch.setattr(mixture, "BLOCK", 1000)
+    rows = spark.createDataFrame(pa.table({"id": np.arange(len(x)), "vector": list(x)}))
+    found = mixture.dense_places(rows, 64, None, np.zeros((0, 64), np.float32))
+    assert ((found @ means.T).max(0) >= 0.9).all()
