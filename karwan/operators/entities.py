@@ -31,7 +31,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node is linked with, by alternating large and small stars.
 
     edges: (a, b), any direction, repeated edges and loops allowed. Each round is two joins-free aggregations; the number
-    of rounds grows with the logarithm of the longest chain. Lineage is cut every round.
+    of rounds grows with the logarithm of the longest chain. Lineage is cut every round. Links that the last round still
+    changed are an error.
     """
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     links = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
@@ -45,6 +46,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if after.count() == links.count() and after.exceptAll(links).isEmpty():
             break
         links = after
+    else:
+        raise RuntimeError(f"components not settled after {rounds} rounds")
     return nodes.join(links.groupBy("u").agg(F.min("v").alias("v")), nodes["node"] == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("component"))
 
 

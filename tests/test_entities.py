@@ -24,6 +24,12 @@ def test_components(spark):
     assert E.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_that_do_not_settle_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        E.components(chain, rounds=2)
+
+
 def test_complete_linkage_needs_all_pairs(spark):
     edges = [("a", "b", 95.0), ("b", "c", 94.0), ("d", "e", 91.0), ("a", "c", 90.0), ("c", "d", 99.0)]
     got = {r.node: r.cluster for r in E.complete_linkage(spark.createDataFrame(edges, "a string, b string, score double")).collect()}
