@@ -144,12 +144,36 @@ def test_clusters(spark):
     assert d[first[0]].n_members == 400 and len(d[first[4]].typical_ids) == 3
 
 
-def test_dense_places_are_all_found(spark, monkeypatch):
+def around(rng, mean, n, cos):
+    e = rng.normal(size=(n, len(mean)))
+    e = unit(e - np.outer(e @ mean, mean))
+    return unit(mean + np.sqrt(1 / cos**2 - 1) * e)
+
+
+@pytest.mark.parametrize("loose", [3_000, 30_000])
+def test_small_groups_are_found_whatever_lies_beside_them(spark, loose):
     rng = np.random.default_rng(8)
-    means = unit(rng.normal(size=(40, 64)))
-    groups = unit(np.repeat(means, 5, 0) + 0.02 * rng.normal(size=(200, 64)))
-    x = np.concatenate([unit(rng.normal(size=(6_000, 64))), groups])[rng.permutation(6_200)].astype(np.float32)
-    monkeypatch.setattr(mixture, "BLOCK", 1000)
+    sizes = [1_000] * 3 + [20] * 6 + [10] * 6 + [5] * 6
+    means = unit(rng.normal(size=(len(sizes), 64)))
+    x = np.concatenate([unit(rng.normal(size=(loose, 64))), *[around(rng, m, n, 0.776) for m, n in zip(means, sizes)]])
+    label = np.concatenate([np.full(loose, -1), np.repeat(np.arange(len(sizes)), sizes)])
+    order = rng.permutation(len(x))
+    x, label = x[order].astype(np.float32), label[order]
     rows = spark.createDataFrame(pa.table({"id": np.arange(len(x)), "vector": list(x)}))
-    found = mixture.dense_places(rows, 64, None, np.zeros((0, 64), np.float32))
-    assert ((found @ means.T).max(0) >= 0.9).all()
+    got = {}
+    for r in mixture.members(rows).collect():
+        got.setdefault(r.cluster_id, set()).add(r.id)
+    want = [set(np.flatnonzero(label == g).tolist()) for g in range(len(sizes))]
+    assert all(w == got.get(min(w)) for w in want)
+    assert len(got) == len(sizes)
+
+
+def test_cells_find_what_a_sample_does_not_show(monkeypatch):
+    rng = np.random.default_rng(9)
+    means = unit(rng.normal(size=(8, 64)))
+    x = np.concatenate([unit(rng.normal(size=(4_000, 64))), *[around(rng, m, 12, 0.8) for m in means]]).astype(np.float32)
+    least = mixture.chance_cosine(x, len(x), 1)
+    found, rows = mixture.local_seeds(x, least, mixture.OTHERS)
+    assert ((found @ means.T).max(0) >= 0.9).all() and (rows >= 3).all()
+    assert mixture.directions_for(mixture.CELL_ROWS, 64, 0) == []
+    assert [len(d) for d in mixture.directions_for(mixture.CELL_ROWS * 1000, 64, 0)] == [32, 32]
