@@ -14,8 +14,11 @@ MARKS = r"[\x{64B}-\x{652}\x{670}\x{640}]"
 # What a value is trimmed of besides blanks.
 EDGES = " .,-_"
 WORD = r"[\p{L}\p{N}_]+"
-# Words that keep their s.
-KEEP_S = ("plus", "gas", "lens", "hummus", "asparagus")
+# Words that only ever take the default singular.
+KEEP_S = ("burnes", "kisses", "ashes", "matches", "patches")
+# Phrases that mark a brand as a placeholder, between word boundaries in Latin script, anywhere in Arabic.
+PLACEHOLDERS = ("select", "please", "none", "null", "undefined", "test", "tbd", "default", "sample", "placeholder", "choose", "unbranded", "misc", "n/?a", "not specified", "not applicable")
+PLACEHOLDERS_ARABIC = ("اختر", "يرجى", "غير محدد", "بدون")
 
 
 def compatibility_table() -> tuple[str, str]:
@@ -62,8 +65,8 @@ def slugify(c: Column) -> Column:
 
 
 def brand_slug(c: Column) -> Column:
-    """The Latin slug, else the Arabic words joined, else a digest."""
-    words = F.regexp_replace(normalize_arabic(c), r"\s+", "_")
+    """The Latin slug, else the normalised Arabic text, else a digest."""
+    words = normalize_arabic(c)
     return F.when(slugify(c) != "", slugify(c)).when(is_arabic(c) & (words != ""), words).otherwise(F.concat(F.lit("brand_"), F.substring(F.sha1(c), 1, 10)))
 
 
@@ -72,6 +75,17 @@ def strip_article(c: Column) -> Column:
     return F.array_join(F.transform(F.split(c, " "), lambda w: F.when((F.char_length(w) > 2) & w.startswith("ال"), w.substr(F.lit(3), F.char_length(w))).otherwise(w)), " ")
 
 
+def is_placeholder_brand(c: Column) -> Column:
+    """Whether a brand as typed holds a placeholder phrase; null for null."""
+    edge = r"(^|$|[^\p{L}\p{N}_])"
+    return F.lower(c).rlike(f"{edge}({'|'.join(PLACEHOLDERS)}){edge}") | c.rlike("|".join(PLACEHOLDERS_ARABIC))
+
+
+def is_test_category(c: Column) -> Column:
+    """Whether a normalised category name is a test entry: test and digits, nothing else."""
+    return c.rlike(r"^test[0-9]*$")
+
+
 def repeat_key(c: Column) -> Column:
     return F.lower(F.btrim(F.regexp_replace(c, r"\s+", " ")))
 
@@ -95,12 +109,18 @@ def trim_plurals(tokens: DataFrame, frequency: DataFrame | None = None, token_co
     default, other = plural_forms(F.col(token_col))
     if frequency is None:
         return tokens.withColumn(token_col, default)
-    words = tokens.select(token_col).distinct().withColumns({"d__": default, "a__": other})
+    best = singulars(tokens.select(F.col(token_col).alias("word")).distinct(), frequency).withColumnRenamed("word", token_col)
+    return tokens.join(best, token_col, "left").withColumn(token_col, F.col("singular")).drop("singular")
+
+
+def singulars(words: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(word, singular) of distinct words(word) by the corpus' frequency(word, freq): joins of vocabularies, not of texts."""
+    default, other = plural_forms(F.col("word"))
+    forms = words.select("word").withColumns({"d__": default, "a__": other})
     for side in ("d", "a"):
-        words = words.join(frequency.select(F.col("word").alias(f"{side}__"), F.col("freq").alias(f"{side}__n")), f"{side}__", "left")
+        forms = forms.join(frequency.select(F.col("word").alias(f"{side}__"), F.col("freq").alias(f"{side}__n")), f"{side}__", "left")
     a, d = F.coalesce("a__n", F.lit(0)), F.coalesce("d__n", F.lit(0))
-    best = words.select(token_col, F.when((d <= 1) & (a > d) & ~F.col(token_col).isin(*KEEP_S), F.col("a__")).otherwise(F.col("d__")).alias("best__"))
-    return tokens.join(best, token_col, "left").withColumn(token_col, F.col("best__")).drop("best__")
+    return forms.select("word", F.when((d <= 1) & (a > d) & ~F.col("word").isin(*KEEP_S), F.col("a__")).otherwise(F.col("d__")).alias("singular"))
 
 
 def single_edits(words: DataFrame, alphabet: str = "abcdefghijklmnopqrstuvwxyz", word_col: str = "word") -> DataFrame:

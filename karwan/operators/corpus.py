@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from karwan.functions import text as T
+from karwan.runtime import cut, small
+
+#: A word is hot if it makes up at least one in so many words of the corpus.
+HOT = 1_000
 
 
 def words(rows: DataFrame, text_cols: list[str], id_col: str = "id") -> DataFrame:
@@ -20,10 +24,37 @@ def base_frequency(tokens: DataFrame) -> DataFrame:
     return kept.groupBy(F.col("token").alias("word")).agg(F.count("*").alias("freq"))
 
 
+def vocabulary(raw: DataFrame) -> DataFrame:
+    """(word, freq) of all words(): one aggregation, cut, since all else about the corpus' words is computed from it."""
+    return cut(raw.groupBy(F.col("token").alias("word")).agg(F.count("*").alias("freq")))
+
+
+def base_words(vocabulary: DataFrame) -> DataFrame:
+    """base_frequency() from the vocabulary."""
+    return vocabulary.where(~T.is_arabic(F.col("word")) & ~F.col("word").rlike(r"^\p{Nd}+$"))
+
+
+def in_singular(raw: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """words() in the singular that the corpus knows better.
+
+    Texts meet the vocabulary by a broadcast if that is small, which is counted. Else only the words that make up at least
+    one in HOT words, which are HOT at most, are broadcast, and what is joined by a shuffle has no hot key.
+    """
+    best = T.singulars(vocabulary, base_words(vocabulary)).withColumnRenamed("word", "token")
+    one = small(best)
+    if one is not best:
+        return raw.join(one, "token").select("id", "pos", F.col("singular").alias("token"))
+    total = vocabulary.agg(F.sum("freq").alias("total"))
+    hot = vocabulary.join(F.broadcast(total)).where(F.col("freq") * HOT >= F.col("total")).select(F.col("word").alias("token"))
+    marked = raw.join(F.broadcast(best.join(F.broadcast(hot), "token", "left_semi").withColumnRenamed("singular", "hot")), "token", "left")
+    rest = marked.where("hot is null").join(best, "token").select("id", "pos", F.col("singular").alias("token"))
+    return marked.where("hot is not null").select("id", "pos", F.col("hot").alias("token")).unionByName(rest)
+
+
 def tokenize(rows: DataFrame, text_cols: list[str], id_col: str = "id") -> DataFrame:
     """words() in the singular that the corpus knows better."""
     raw = words(rows, text_cols, id_col)
-    return T.trim_plurals(raw, base_frequency(raw))
+    return in_singular(raw, vocabulary(raw))
 
 
 def term_frequency(tokens: DataFrame) -> DataFrame:

@@ -127,7 +127,7 @@ def canonical_values(values: DataFrame, cutoff: float = 90.0, sure: float = 97.0
 
     method is junk_excluded, exact_auto_merge, fuzzy_candidate or singleton_unique.
     """
-    junk = F.lower("value").rlike(r"^(n/?a|none|test\d*|unbranded|default brand|\?|-|tbd|not specified)$|لا يوجد|غير محدد|بدون ماركة")
+    junk = T.is_placeholder_brand(F.col("value"))
     live = exact_merge(values.where(~junk), T.normalize(F.col("value")))
     single = live.where(~F.col("merged")).withColumn("arabic", T.is_arabic(F.col("key")))
     edges = similar_keys(single.select("key"), cutoff)

@@ -33,11 +33,11 @@ def _products(spark: SparkSession, d: str) -> DataFrame:
 # --- filters
 
 
-@query("flt1_hard_filter", "SELECT p.id, name_en, CAST(price AS DOUBLE) AS price FROM product p WHERE price >= 10 AND price <= 40 AND brand_normalized = 'maqawal' AND EXISTS (SELECT 1 FROM product_category pc JOIN category c ON c.id = pc.category_id WHERE pc.product_id = p.id AND c.canonical_category_id BETWEEN 1 AND 40)")
+@query("flt1_hard_filter", "SELECT p.id, name_en, CAST(price AS DOUBLE) AS price FROM product p WHERE price >= 10 AND price <= 40 AND brand_normalized = lower('MaQawal') AND EXISTS (SELECT 1 FROM product_category pc JOIN category c ON c.id = pc.category_id WHERE pc.product_id = p.id AND c.canonical_category_id BETWEEN 1 AND 40)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     cats = table(spark, d, "category").where("canonical_category_id between 1 and 40").select(F.col("id").alias("category_id"))
     members = table(spark, d, "product_category").join(cats, "category_id", "left_semi").select(F.col("product_id").alias("id"))
-    return retrieval.hard_filter(_products(spark, d), {"brand_normalized": "maqawal"}, {"price": (10, 40)}, members).select("id", "name_en", F.col("price").cast("double").alias("price"))
+    return retrieval.hard_filter(_products(spark, d), None, {"price": (10, 40)}, members, lowered={"brand_normalized": "MaQawal"}).select("id", "name_en", F.col("price").cast("double").alias("price"))
 
 
 @query("flt4_jn1_category_semijoin", "SELECT DISTINCT p.id FROM product p WHERE EXISTS (SELECT 1 FROM product_category pc JOIN category c ON c.id = pc.category_id JOIN canonical_category cc ON cc.id = c.canonical_category_id WHERE pc.product_id = p.id AND cc.slug LIKE '%milk%')")
@@ -65,7 +65,7 @@ _QUERIES_SQL = "queries AS (SELECT id AS qid, display_name_en AS q FROM canonica
 _TERMS_SQL = f"""{_QUERIES_SQL}
 qraw AS (SELECT qid, unnest(l) AS token, unnest(range(len(l))) AS pos FROM (SELECT qid, {TOKENS('q')} AS l FROM queries)),
 qforms AS (SELECT DISTINCT token, CASE WHEN length(token) <= 4 THEN token WHEN token LIKE '%ies' THEN left(token, -3) || 'y' WHEN token LIKE '%es' THEN left(token, -1) WHEN token LIKE '%s' AND token NOT LIKE '%ss' THEN left(token, -1) ELSE token END AS d, CASE WHEN length(token) <= 4 THEN token WHEN token LIKE '%ies' THEN left(token, -1) WHEN token LIKE '%es' THEN left(token, -2) WHEN token LIKE '%s' AND token NOT LIKE '%ss' THEN left(token, -1) ELSE token END AS a FROM qraw),
-qterms AS (SELECT r.qid, r.pos, CASE WHEN coalesce(x.freq, 0) <= 1 AND coalesce(y.freq, 0) > coalesce(x.freq, 0) AND f.token NOT IN {T.KEEP_S} THEN a ELSE d END AS token FROM qraw r JOIN qforms f USING (token) LEFT JOIN base x ON x.word = d LEFT JOIN base y ON y.word = a),
+qterms AS (SELECT r.qid, r.pos, CASE WHEN coalesce(x.freq, 0) <= 1 AND coalesce(y.freq, 0) > coalesce(x.freq, 0) AND f.token NOT IN ('burnes', 'kisses', 'ashes', 'matches', 'patches') THEN a ELSE d END AS token FROM qraw r JOIN qforms f USING (token) LEFT JOIN base x ON x.word = d LEFT JOIN base y ON y.word = a),
 bm AS (SELECT q.qid, t.id, sum(ln((s.n_docs - f.df + 0.5) / (f.df + 0.5) + 1) * t.tf * 2.4 / (t.tf + 1.4 * (0.25 + 0.75 * c.length / s.avg_length))) AS score FROM (SELECT DISTINCT qid, token FROM qterms) q JOIN dfreq f USING (token) JOIN tf t USING (token) JOIN docs c ON c.id = t.id, stats s GROUP BY 1, 2)
 """
 _RANKED_SQL = WORDS_SQL.rstrip() + ",\n" + _TERMS_SQL
@@ -92,15 +92,28 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.bm25(index, _queries(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@query("rnk3_srt1_top20", _RANKED_SQL + ", a AS (SELECT DISTINCT id, unnest(" + TOKENS("replace(url_key, '-', ' ')") + f""") AS token FROM product),
+#: Each canonical category's name with the smallest code among its products, so that codes count too.
+_CODED_SQL = "queries AS (SELECT cc.id AS qid, cc.display_name_en || coalesce(' ' || min(p.sku), '') AS q FROM canonical_category cc LEFT JOIN category c ON c.canonical_category_id = cc.id LEFT JOIN product_category pc ON pc.category_id = c.id LEFT JOIN product p ON p.id = pc.product_id AND p.sku <> '' GROUP BY cc.id, cc.display_name_en),"
+
+
+def _coded_queries(spark: SparkSession, d: str) -> DataFrame:
+    cats = table(spark, d, "category").where("canonical_category_id is not null").select(F.col("id").alias("category_id"), F.col("canonical_category_id").alias("id"))
+    codes = _products(spark, d).where("sku <> ''").select(F.col("id").alias("product_id"), "sku")
+    least = table(spark, d, "product_category").select("product_id", "category_id").join(cats, "category_id").join(codes, "product_id").groupBy("id").agg(F.min("sku").alias("sku"))
+    return table(spark, d, "canonical_category").join(least, "id", "left").select(F.col("id").alias("qid"), F.concat_ws(" ", "display_name_en", "sku").alias("q"))
+
+
+@query("rnk3_srt1_top20", _RANKED_SQL.replace(_QUERIES_SQL, _CODED_SQL) + ", a AS (SELECT DISTINCT id, unnest(" + TOKENS("replace(url_key, '-', ' ')") + f""") AS token FROM product),
 aforms AS (SELECT DISTINCT token, CASE WHEN length(token) <= 4 THEN token WHEN token LIKE '%ies' THEN left(token, -3) || 'y' WHEN token LIKE '%es' THEN left(token, -1) WHEN token LIKE '%s' AND token NOT LIKE '%ss' THEN left(token, -1) ELSE token END AS d, CASE WHEN length(token) <= 4 THEN token WHEN token LIKE '%ies' THEN left(token, -1) WHEN token LIKE '%es' THEN left(token, -2) WHEN token LIKE '%s' AND token NOT LIKE '%ss' THEN left(token, -1) ELSE token END AS a FROM a),
-aterms AS (SELECT DISTINCT a.id, CASE WHEN coalesce(x.freq, 0) <= 1 AND coalesce(y.freq, 0) > coalesce(x.freq, 0) AND f.token NOT IN {T.KEEP_S} THEN f.a ELSE f.d END AS token FROM a JOIN aforms f USING (token) LEFT JOIN base x ON x.word = f.d LEFT JOIN base y ON y.word = f.a),
+aterms AS (SELECT DISTINCT a.id, CASE WHEN coalesce(x.freq, 0) <= 1 AND coalesce(y.freq, 0) > coalesce(x.freq, 0) AND f.token NOT IN ('burnes', 'kisses', 'ashes', 'matches', 'patches') THEN f.a ELSE f.d END AS token FROM a JOIN aforms f USING (token) LEFT JOIN base x ON x.word = f.d LEFT JOIN base y ON y.word = f.a),
 extra AS (SELECT q.qid, a.id, 2.0 * count(*) AS e FROM (SELECT DISTINCT qid, token FROM qterms) q JOIN aterms a USING (token) GROUP BY 1, 2),
-sc AS (SELECT qid, id, round(score + coalesce(e, 0), 6) AS score FROM bm LEFT JOIN extra USING (qid, id))
+codes AS (SELECT DISTINCT q.qid, p.id, p.sku = trim(q.q, ' ') AS whole FROM queries q JOIN (SELECT DISTINCT id, sku FROM product WHERE sku <> '') p ON contains(q.q, p.sku)),
+coded AS (SELECT qid, id, bool_or(whole) AS whole, 100.0 AS boost FROM codes GROUP BY 1, 2),
+sc AS (SELECT qid, id, round(coalesce(score, 0) + coalesce(e, 0) + coalesce(boost, 0), 6) AS score FROM (SELECT qid, id, score, whole, boost FROM bm FULL JOIN coded USING (qid, id)) LEFT JOIN extra USING (qid, id) WHERE score IS NOT NULL OR whole)
 SELECT qid, id, score, r FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM sc) WHERE r <= 20""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     index = retrieval.Index.build(_products(spark, d), NAMES)
-    scores = retrieval.rank(index, _queries(spark, d), _unique(spark, d)).withColumn("score", F.round("score", 6))
+    scores = retrieval.rank(index, _coded_queries(spark, d), _unique(spark, d)).withColumn("score", F.round("score", 6))
     return retrieval.ranked(scores, [F.desc("score")], 20).select("qid", "id", "score", "r")
 
 
@@ -110,11 +123,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _typed(spark: SparkSession, d: str) -> DataFrame:
-    """Every word of the brands as typed that no product name holds."""
-    typed = corpus.words(_products(spark, d), ["brand_raw_en"]).select("token").distinct()
-    return typed
-
-
+    """Every distinct word of the brands as typed."""
+    return corpus.words(_products(spark, d), ["brand_raw_en"]).select("token").distinct()
 
 
 @query("sim4_jn11_rnk4_corrections")
@@ -151,32 +161,44 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
-@query("vec1_srt3_nearest", "SELECT qid, id, distance, r FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS r FROM (SELECT q.vec_id AS qid, e.vec_id AS id, round(1 - list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS distance FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)) WHERE r <= 10")
+@query("vec1_srt3_nearest", "SELECT qid, id, round(distance, 6) AS distance, r FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS r FROM (SELECT q.vec_id AS qid, e.vec_id AS id, round(1 - list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS distance FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)) WHERE r <= 10")
 def _(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
     # the stated query set: every row whose id is divisible by 20
-    q = v.where("id % 20 = 0").select(F.col("id").alias("qid"), "vector")
-    base = v
-    met = base.join(F.broadcast(q.withColumnRenamed("vector", "qv")))
-    scored = met.select("qid", "id", F.round(S.cosine_distance(F.col("vector"), F.col("qv")), 6).alias("distance"))
-    return scored.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))).where("r <= 10")
+    near = retrieval.vector_rank(v, v.where("id % 20 = 0").select(F.col("id").alias("qid"), "vector"), 10)
+    return near.select("qid", "id", F.round("distance", 6).alias("distance"), "r")
+
+
+_USABLE_SQL = "u AS (SELECT DISTINCT product_id AS id, embedding::DOUBLE[] AS v FROM product_embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"
+
+
+@query("vec1_gated", f"WITH {_USABLE_SQL}, m AS (SELECT DISTINCT product_id AS id FROM product_category WHERE category_id <> 7), s AS (SELECT q.id AS qid, e.id, min(round(1 - list_cosine_similarity(q.v, e.v), 9)) AS distance FROM (SELECT * FROM u WHERE id % 20 = 0 AND id NOT IN (SELECT id FROM m WHERE id IS NOT NULL)) q, (SELECT * FROM u WHERE id IN (SELECT id FROM m)) e GROUP BY 1, 2) SELECT qid, id, round(distance, 6) AS distance, r FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS r, min(distance) OVER (PARTITION BY qid) AS nearest FROM s) WHERE r <= 5 AND nearest <= 0.31")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "product_embeddings").where("size(embedding) = 64").select(F.col("product_id").alias("id"), F.col("embedding").alias("vector"))
+    members = table(spark, d, "product_category").where("category_id <> 7 and product_id is not null").select(F.col("product_id").alias("id")).distinct()
+    asked = v.where("id % 20 = 0").join(members, "id", "left_anti").select(F.col("id").alias("qid"), "vector")
+    return retrieval.vector_rank(v, asked, 5, 0.31, members).select("qid", "id", F.round("distance", 6).alias("distance"), "r")
 
 
-@query("vec2_rrf", "WITH a AS (SELECT c_nationkey AS qid, c_custkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer), b AS (SELECT c_nationkey AS qid, c_custkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer) SELECT qid, id, round(sum(1.0 / (60 + r)), 6) AS score FROM (SELECT * FROM a WHERE r <= 50 UNION ALL SELECT * FROM b WHERE r <= 50) GROUP BY 1, 2")
+@query("vec2_rrf", "WITH a AS (SELECT c_nationkey AS qid, c_custkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer), b AS (SELECT c_nationkey AS qid, c_custkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer) SELECT qid, id, round(sum(1.0 / (60 + r)), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2")
 def _(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select(F.col("c_nationkey").alias("qid"), F.col("c_custkey").alias("id"), "c_acctbal")
-    by = lambda *order: c.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where("r <= 50").select("qid", "id", "r")
+    by = lambda *order: c.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).select("qid", "id", "r")
     return retrieval.fuse([by(F.desc("c_acctbal"), "id"), by("id")]).select("qid", "id", F.round("score", 6).alias("score"))
 
 
+# each query's vector is the mean of the vectors of its category's products
 @query("hyb1_hybrid_search")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = _unique(spark, d)
+    rows = _products(spark, d).select("id", *NAMES, "sku", "url_key", "price")
     index = retrieval.Index.build(rows, NAMES)
-    vectors = table(spark, d, "product_embeddings").select(F.col("product_id").alias("id"), F.col("embedding").alias("vector"))
-    first = table(spark, d, "product_embeddings").where("size(embedding) = 64").agg(F.min_by("embedding", "product_id").alias("vector"))
-    qv = _queries(spark, d).select("qid").join(F.broadcast(first))
-    return retrieval.ranked(retrieval.hybrid(index, rows, _queries(spark, d), vectors, qv), [F.desc(F.round("score", 9))], 20)
+    vectors = table(spark, d, "product_embeddings").where("size(embedding) = 64").select(F.col("product_id").alias("id"), F.col("embedding").alias("vector"))
+    cats = table(spark, d, "category").where("canonical_category_id is not null").select(F.col("id").alias("category_id"), F.col("canonical_category_id").alias("qid"))
+    linked = table(spark, d, "product_category").select("product_id", "category_id").join(cats, "category_id").select(F.col("product_id").alias("id"), "qid").distinct()
+    finite = vectors.where(F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    qv = S.mean_vector(linked.join(finite, "id"), ["qid"], "vector")
+    found = retrieval.hybrid(index, rows, _queries(spark, d), vectors, qv, price_col="price")
+    return found.where("place <= 20").select("qid", "id", F.round("score", 6).alias("score"), "plan", "place")
 
 
 @query("hyb2_hyb3_price_order", "SELECT id, CAST(price AS DOUBLE) AS price, row_number() OVER (ORDER BY price ASC NULLS LAST, id) AS r, count(*) OVER () AS total FROM (SELECT id, min(price) AS price FROM product GROUP BY id) QUALIFY r > 20 AND r <= 40")
@@ -273,10 +295,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ag24_seeded_split", "SELECT vec_id, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR) || '-7'), vec_id) <= 0.7 * count(*) OVER () AS dev FROM embeddings")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    # the place in the digests' order: a range-partitioned count before, then places inside each leading byte
-    e = table(spark, d, "embeddings").select("vec_id", F.md5(F.concat(F.col("vec_id").cast("string"), F.lit("-7"))).alias("h")).withColumn("b", F.substring("h", 1, 2))
+    # the place in the digests' order: a range-partitioned count before, then places inside each two leading bytes
+    e = table(spark, d, "embeddings").select("vec_id", F.md5(F.concat(F.col("vec_id").cast("string"), F.lit("-7"))).alias("h")).withColumn("b", F.substring("h", 1, 4))
     n = e.groupBy("b").agg(F.count("*").alias("n"))
-    before = n.select("b", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # at most 256 rows
+    before = n.select("b", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # at most 65,536 rows
     total = n.agg(F.sum("n").alias("total"))
     r = F.row_number().over(Window.partitionBy("b").orderBy("h", "vec_id"))
     return e.withColumn("r", r).join(F.broadcast(before), "b").join(F.broadcast(total)).select("vec_id", (F.col("before") + F.col("r") <= 0.7 * F.col("total")).alias("dev"))

@@ -39,7 +39,7 @@ raw AS (SELECT id, unnest(l) AS token, unnest(range(len(l))) AS pos FROM lists),
 base AS (SELECT token AS word, count(*) AS freq FROM raw WHERE NOT {IS_AR('token')} AND NOT regexp_matches(token, '^\\p{{Nd}}+$') GROUP BY 1),
 forms AS (SELECT DISTINCT token, CASE WHEN length(token) <= 4 OR {IS_AR('token')} THEN token WHEN token LIKE '%ies' THEN left(token, -3) || 'y' WHEN token LIKE '%es' THEN left(token, -1) WHEN token LIKE '%s' AND token NOT LIKE '%ss' THEN left(token, -1) ELSE token END AS d,
   CASE WHEN length(token) <= 4 OR {IS_AR('token')} THEN token WHEN token LIKE '%ies' THEN left(token, -1) WHEN token LIKE '%es' THEN left(token, -2) WHEN token LIKE '%s' AND token NOT LIKE '%ss' THEN left(token, -1) ELSE token END AS a FROM raw),
-best AS (SELECT token, CASE WHEN coalesce(x.freq, 0) <= 1 AND coalesce(y.freq, 0) > coalesce(x.freq, 0) AND token NOT IN {T.KEEP_S} THEN a ELSE d END AS b FROM forms LEFT JOIN base x ON x.word = d LEFT JOIN base y ON y.word = a),
+best AS (SELECT token, CASE WHEN coalesce(x.freq, 0) <= 1 AND coalesce(y.freq, 0) > coalesce(x.freq, 0) AND token NOT IN ('burnes', 'kisses', 'ashes', 'matches', 'patches') THEN a ELSE d END AS b FROM forms LEFT JOIN base x ON x.word = d LEFT JOIN base y ON y.word = a),
 toks AS (SELECT r.id, r.pos, b.b AS token FROM raw r JOIN best b USING (token)),
 tf AS (SELECT id, token, count(*) AS tf FROM toks GROUP BY 1, 2),
 dfreq AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
@@ -100,7 +100,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "category").select("id", T.slugify(F.col("name_en")).alias("slug"))
 
 
-@query("txt11_brand_slug", f"SELECT raw_value, CASE WHEN {_SLUG.format(x='raw_value')} <> '' THEN {_SLUG.format(x='raw_value')} WHEN {IS_AR('raw_value')} AND {ARAB('raw_value')} <> '' THEN regexp_replace({ARAB('raw_value')}, '\\s+', '_', 'g') ELSE 'brand_' || left(sha1(raw_value), 10) END AS slug FROM brand_alias")
+@query("txt11_brand_slug", f"SELECT raw_value, CASE WHEN {_SLUG.format(x='raw_value')} <> '' THEN {_SLUG.format(x='raw_value')} WHEN {IS_AR('raw_value')} AND {ARAB('raw_value')} <> '' THEN {ARAB('raw_value')} ELSE 'brand_' || left(sha1(raw_value), 10) END AS slug FROM brand_alias")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "brand_alias").select("raw_value", T.brand_slug(F.col("raw_value")).alias("slug"))
 
@@ -115,12 +115,26 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(T.repeat_key(F.col("text"))).alias("key"))
 
 
-_JUNK = r"^(n/?a|none|test\d*|unbranded|default brand|\?|-|tbd|not specified)$|لا يوجد|غير محدد|بدون ماركة"
+_W = "(^|$|[^\\p{L}\\p{N}_])"
+_JUNK_SQL = f"(regexp_matches(lower({{x}}), '{_W}(select|please|none|null|undefined|test|tbd|default|sample|placeholder|choose|unbranded|misc|n/?a|not specified|not applicable){_W}') OR regexp_matches({{x}}, 'اختر|يرجى|غير محدد|بدون'))"
 
 
-@query("txt14_junk_flags", f"SELECT id, regexp_matches(lower(brand_raw_en), '{_JUNK}') AS junk FROM product WHERE brand_raw_en IS NOT NULL")
+def junk_sql(x: str) -> str:
+    return _JUNK_SQL.replace("{x}", x)
+
+
+@query("txt14_junk_flags", f"SELECT DISTINCT value, {junk_sql('value')} AS junk FROM (SELECT brand_raw_en AS value FROM product UNION ALL SELECT brand_raw_ar FROM product UNION ALL SELECT brand_normalized FROM product UNION ALL SELECT text FROM documents) WHERE value IS NOT NULL")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "product")
+    values = p.select(F.explode(F.array("brand_raw_en", "brand_raw_ar", "brand_normalized")).alias("value")).unionByName(table(spark, d, "documents").select(F.col("text").alias("value")))
+    return values.where("value is not null").distinct().select("value", T.is_placeholder_brand(F.col("value")).alias("junk"))
+
+
+@query("txt14_test_categories", f"SELECT id, name_en, regexp_matches({LATIN('name_en')}, '^test[0-9]*$') AS junk FROM category UNION ALL SELECT id, 'Test' || id, true FROM category")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "product").where("brand_raw_en is not null").select("id", F.lower("brand_raw_en").rlike(_JUNK).alias("junk"))
+    c = table(spark, d, "category").select("id", "name_en")
+    named = c.unionByName(c.select("id", F.concat(F.lit("Test"), F.col("id").cast("string")).alias("name_en")))
+    return named.select("id", "name_en", T.is_test_category(T.normalize_latin(F.col("name_en"))).alias("junk"))
 
 
 @query("txt15_embedding_text", """
@@ -135,10 +149,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return p.join(names, "id", "left").select("id", F.concat_ws(" ", blank("name_en"), blank("name_ar"), "cats").alias("text")).distinct()
 
 
-@query("txt16_json_attribute", "SELECT * FROM (VALUES (1, 'Acme'), (2, NULL), (3, NULL), (4, NULL), (5, NULL)) t(id, brand)")
+@query("txt16_json_attribute", "SELECT id, CASE WHEN brand_raw_en IS NULL THEN NULL WHEN id % 3 = 0 THEN NULL WHEN trim(brand_raw_en, ' ') = '' THEN NULL ELSE brand_raw_en END AS brand FROM product")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(1, '[{"code":"x","value":1},{"code":"brand","value":"Acme"}]'), (2, '[{"code":"brand","value":7},{"code":"brand","value":"B"}]'), (3, "not json"), (4, '[{"code":"brand","value":"  "}]'), (5, None)]
-    return spark.createDataFrame(rows, "id int, attributes string").select("id", json_attribute(F.col("attributes"), "brand").alias("brand"))
+    # every third product gives its brand as a number first, so that nothing may be taken from what follows
+    number = F.when(F.col("id") % 3 == 0, F.to_json(F.struct(F.lit("brand").alias("code"), F.lit(7).alias("value"))))
+    brand = F.to_json(F.struct(F.lit("brand").alias("code"), F.col("brand_raw_en").alias("value")))
+    other = F.to_json(F.struct(F.lit("size").alias("code"), F.col("name_ar").alias("value")))
+    p = table(spark, d, "product").select("id", F.concat(F.lit("["), F.concat_ws(",", other, number, brand), F.lit("]")).alias("attributes"))
+    return p.select("id", json_attribute(F.col("attributes"), "brand").alias("brand"))
 
 
 def json_attribute(c, code: str):
@@ -148,10 +166,18 @@ def json_attribute(c, code: str):
     return F.when((F.schema_of_variant(value) == "STRING") & (F.trim(F.try_variant_get(value, "$", "string")) != ""), F.try_variant_get(value, "$", "string"))
 
 
-@query("txt17_single_edits", "SELECT word, count(*) AS n FROM (SELECT DISTINCT slug AS word, unnest(list_concat(list_transform(range(1, length(slug) + 1), lambda i: left(slug, i - 1) || substr(slug, i + 1)), list_transform(range(1, length(slug)), lambda i: left(slug, i - 1) || substr(slug, i + 1, 1) || substr(slug, i, 1) || substr(slug, i + 2)))) AS v FROM canonical_brand) WHERE v <> word GROUP BY 1")
+_EDITS_SQL = """WITH w AS (SELECT DISTINCT slug AS word FROM canonical_brand), p AS (SELECT word, unnest(range(length(word) + 1)) AS i FROM w), l AS (SELECT chr(CAST(97 + unnest(range(26)) AS INT)) AS c),
+e AS (SELECT word, 'deletion' AS kind, left(word, i) || substr(word, i + 2) AS v FROM p WHERE i < length(word)
+UNION SELECT word, 'transposition', left(word, i) || substr(word, i + 2, 1) || substr(word, i + 1, 1) || substr(word, i + 3) FROM p WHERE i < length(word) - 1
+UNION SELECT word, 'insertion', left(word, i) || c || substr(word, i + 1) FROM p, l
+UNION SELECT word, 'substitution', left(word, i) || c || substr(word, i + 2) FROM p, l WHERE i < length(word))
+SELECT word, kind, count(*) AS n, min(v) AS first_variant, max(v) AS last_variant FROM e WHERE v <> word GROUP BY 1, 2"""
+
+
+@query("txt17_single_edits", _EDITS_SQL)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    made = T.single_edits(table(spark, d, "canonical_brand").select(F.col("slug").alias("word")).distinct()).where("kind in ('deletion', 'transposition')")
-    return made.select("word", "variant").distinct().groupBy("word").agg(F.count("*").alias("n"))
+    made = T.single_edits(table(spark, d, "canonical_brand").select(F.col("slug").alias("word")).distinct())
+    return made.groupBy("word", "kind").agg(F.count("*").alias("n"), F.min("variant").alias("first_variant"), F.max("variant").alias("last_variant"))
 
 
 @query("ag1_base_frequency", WORDS_SQL + "SELECT word, freq FROM base")

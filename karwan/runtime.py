@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "karwan", cpus: int = 8, memory: str = "8g", shuffle_partitions: int | None = None) -> SparkSession:
@@ -29,13 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the checkpoint folder and reads it back: a lineage cut that survives lost executors.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data, which all executors share.
 
-    The folder is the one the session names (spark.checkpoint.dir); only a local session without
+    It is the one the session names (spark.checkpoint.dir); only a local session without
     one gets a temporary folder, a cluster without one is refused.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -44,6 +44,12 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="karwan-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the checkpoint folder and reads it back: a lineage cut that survives lost executors."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -52,6 +58,6 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def python_path_ready() -> str:
-    """The folder that holds the package, for workers that are started elsewhere."""
-    return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df marked for a broadcast if it has at most so many (narrow) rows, else as it is. It is counted, so it should be cheap or cut."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 # What a backslash and a letter stand for; any other letter stands for itself.
 ESCAPES = {"0": "\0", "b": "\b", "n": "\n", "r": "\r", "t": "\t", "Z": "\x1a"}
-_TUPLE = r"\(((?:[^'()]|'(?:[^'\\]|\\.|'')*')*)\)"
-_FIELD = r"((?:'(?:[^'\\]|\\.|'')*'|[^,'])+|(?<=,)(?=,|$)|^(?=,))"
+# possessive groups: they are matched in a loop, so that a field may be of any length
+_TUPLE = r"\(((?:[^'()]++|'(?:[^'\\]++|\\[\s\S]|'')*+')*+)\)"
+_FIELD = r"((?:'(?:[^'\\]++|\\[\s\S]|'')*+'|[^,']++)++|(?<=,)(?=,|$)|^(?=,))"
 
 
 def insert_lines(lines: DataFrame, table: str, col: str = "value") -> DataFrame:
@@ -30,7 +31,7 @@ def fields(body: Column) -> Column:
 def unescape(raw: Column) -> Column:
     """NULL as null, quoted text without quotes and escapes (read from left to right), any other literal as it is."""
     inner = raw.substr(F.lit(2), F.char_length(raw) - 2)
-    marked = F.regexp_extract_all(F.replace(inner, F.lit("''"), F.lit("\\'")), F.lit(r"(\\[\s\S]|[^\\]+)"), F.lit(1))
+    marked = F.regexp_extract_all(F.replace(inner, F.lit("''"), F.lit("\\'")), F.lit(r"(\\[\s\S]|[^\\]++)"), F.lit(1))
     letter = lambda p: p.substr(F.lit(2), F.lit(1))
     one = lambda p: F.when(p.startswith("\\"), F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ESCAPES.items() for x in kv]), letter(p)), letter(p))).otherwise(p)
     return F.when(F.upper(raw) == "NULL", None).when(raw.startswith("'") & raw.endswith("'") & (F.char_length(raw) >= 2), F.array_join(F.transform(marked, one), "")).otherwise(raw)

@@ -25,8 +25,12 @@ def test_each_query_takes_its_plan(spark):
     got = {}
     for r in retrieval.hybrid(index, rows, q, vectors, qv, wide=3).collect():
         got.setdefault((r.qid, r.plan), set()).add(r.id)
-    assert got.pop((1, "fused")) == {1, 2, 4, 5, 6, 7}  # more than `wide` keyword hits are fused with the vectors
-    assert got.pop((3, "vector")) == {1, 2} and got.pop((5, "keyword")) == {6}
+    assert got.pop((1, "fused")) == {1, 2, 4, 5, 6, 7}  # of more than `wide` candidates what is found is fused with the vectors
+    assert got.pop((3, "vector")) == {1, 2} and got.pop((5, "fused")) == {6}
+    few = retrieval.hybrid(index, rows.where("id <> 7").withColumn("price", 9 - rows["id"]), q.where("qid in (1, 5)").union(spark.createDataFrame([(6, ""), (7, None)], "qid long, q string")), vectors, qv, wide=7, price_col="price")
+    by = {(r.qid, r.place): (r.plan, r.id) for r in few.collect()}
+    assert by[5, 1] == ("keyword", 6) and {by[1, i][0] for i in (1, 2, 3)} == {"keyword"} and (1, 4) not in by
+    assert [by[6, i] for i in (1, 2)] == [("filter", 8), ("filter", 6)] and by[7, 7] == ("filter", 1)
     assert not [k for k in got if k[0] == 4] and all(k == (2, "corrected") for k in got)
 
 

@@ -74,7 +74,9 @@ def test_retrieval(spark):
     q = spark.createDataFrame([(1, "milk"), (2, "S-2"), (3, "!!"), (4, "milq buttr")], "qid long, q string")
     got = {(r.qid, r.id): r.score for r in retrieval.rank(index, q, rows).collect()}
     assert {k for k in got if k[0] == 1} == {(1, 1), (1, 2), (1, 5)} and got[1, 1] > 2 and got[2, 2] >= 100
-    assert not [k for k in got if k[0] == 3]
+    assert {k: v for k, v in got.items() if k[0] == 3} == {(3, i): 0.0 for i in range(1, 6)}  # no word: every candidate
+    coded = {(r.qid, r.id): r.score for r in retrieval.rank(index, spark.createDataFrame([(1, "milk"), (2, "milk xS-1x")], "qid long, q string"), rows).collect()}
+    assert abs(coded[2, 1] - coded[1, 1] - 100) < 1e-9 and coded[2, 5] == coded[1, 5]  # a code inside the text counts
     fixed = {r.qid: r.corrected for r in retrieval.correct(index, q).collect()}
     assert fixed == {1: None, 2: None, 3: None, 4: None}  # milk is known by three documents, but at 75 it isn't near enough
     assert index.stats.first()["n_docs"] == 5

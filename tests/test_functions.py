@@ -1,9 +1,11 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from karwan.functions import similarity as S
 from karwan.functions import text as T
+from karwan.sources import dump
 
 
 def lcs(a, b):
@@ -25,17 +27,23 @@ def test_normalisation(spark):
     assert values(spark, T.normalize_arabic, ["أَلبانٍ طـــازجة", "مربى", None]) == ["البان طازجة", "مربي", None]
     assert values(spark, T.raw_tokens, ["Milk 1.5 L حَليب", "", None, "!!"]) == [["milk", "1", "5", "l", "ح", "ليب"], [], [], []]
     assert values(spark, T.slugify, ["Fresh Milk & Co.", "حليب", ""]) == ["fresh_milk_co", "", ""]
-    assert values(spark, T.brand_slug, ["Al Nasider", "نودوت الواحة"]) == ["al_nasider", "نودوت_الواحة"]
+    assert values(spark, T.brand_slug, ["Al Nasider", "نودوت الواحة"]) == ["al_nasider", "نودوت الواحة"]
     assert values(spark, T.brand_slug, ["★"])[0].startswith("brand_")
     assert values(spark, T.strip_article, ["الحليب ال الطازج"]) == ["حليب ال طازج"]
     assert values(spark, T.repeat_key, ["  A \n b "]) == ["a b"]
 
 
 def test_plurals(spark):
-    words = spark.createDataFrame([("cookies",), ("boxes",), ("berries",), ("glass",), ("gas",), ("hummus",), (None,)], "token string")
-    assert {r.token for r in T.trim_plurals(words).collect()} == {"cooky", "boxe", "berry", "glass", "gas", "hummu", None}
-    known = spark.createDataFrame([("cookie", 5), ("box", 4), ("boxe", 0), ("berry", 9), ("hummu", 0)], "word string, freq long")
-    assert {r.token for r in T.trim_plurals(words, known).collect()} == {"cookie", "box", "berry", "glass", "gas", "hummu", None}
+    words = spark.createDataFrame([("cookies",), ("boxes",), ("berries",), ("glass",), ("gas",), ("kisses",), ("matches",), (None,)], "token string")
+    assert {r.token for r in T.trim_plurals(words).collect()} == {"cooky", "boxe", "berry", "glass", "gas", "kisse", "matche", None}
+    known = spark.createDataFrame([("cookie", 5), ("box", 4), ("boxe", 0), ("berry", 9), ("kiss", 7), ("match", 7)], "word string, freq long")
+    assert {r.token for r in T.trim_plurals(words, known).collect()} == {"cookie", "box", "berry", "glass", "gas", "kisse", "matche", None}
+
+
+def test_placeholders(spark):
+    typed = ["Please select a brand.", "N/A", "na", "Testament", "test", "LG", "Misc.", "اختر", "بدون", "Not  specified", "not specified", "", None]
+    assert values(spark, T.is_placeholder_brand, typed) == [True, True, True, False, True, False, True, True, True, False, True, False, None]
+    assert values(spark, T.is_test_category, ["test", "test12", "test a", "latest", None]) == [True, True, False, False, None]
 
 
 def test_single_edits(spark):
@@ -73,3 +81,16 @@ def test_vectors(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>")
     got = [r[0] for r in df.select(S.cosine_distance(F.col("a"), F.col("b"))).collect()]
     assert abs(got[0] - (1 - 0.5**0.5)) < 1e-9 and got[1] is None
+
+
+def test_dump_fields_of_any_length(spark, tmp_path):
+    big, quoted = "x" * 1_000_000, "it''s, (a) \\'b\\' " * 50_000
+    many = ",".join(f"({i},'a{i}')" for i in range(300_000))
+    (tmp_path / "dump.sql").write_text(f"CREATE TABLE `t`;\nINSERT INTO `t` VALUES (1,'{big}'),(2,'{quoted}'),(3,NULL);\nINSERT INTO `u` VALUES (9,'z');\nINSERT INTO `t` VALUES {many};\n")
+    rows = dump.read_table(spark, str(tmp_path / "dump.sql"), "t", ["id", "name"])
+    first = {r.id: r.name for r in rows.where("length(name) > 100 or name is null").collect()}
+    assert first == {"1": big, "2": "it's, (a) 'b' " * 50_000, "3": None}
+    assert rows.count() == 300_003
+    (tmp_path / "bad.sql").write_text("INSERT INTO `t` VALUES (1,'a',2);\n")
+    with pytest.raises(Exception, match="another number of fields"):
+        dump.read_table(spark, str(tmp_path / "bad.sql"), "t", ["id", "name"]).collect()
