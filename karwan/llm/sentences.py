@@ -1,8 +1,9 @@
 """Sentence units across languages and scripts, as code point spans.
 
 A text is cut at blank lines, list items and speakers' turns; within what is left, semi-Markov dynamic
-programming chooses among all segmentations into whole spans. A span scores by its length, by the words it opens
-and closes with, by what stands at its end and by whether its quotations and brackets are balanced or stand alone.
+programming chooses among all segmentations into whole spans. A span scores by its length, by the word it opens
+with, by the word and the mark it closes with, and by whether its quotations are balanced or stand alone. Opening words,
+abbreviations and words with an own mark are learnt from all texts; the lists below are only where that starts from.
 """
 
 from __future__ import annotations
@@ -11,16 +12,16 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from karwan.runtime import cut
 
-# Abbreviations that a sentence doesn't end with, as written before the full stop, in lower case.
-NEVER = set("mr mrs ms dr prof st sr messrs e.g i.e eg ie vs approx incl excl bzw inkl exkl evtl ggf env mme mlle mm dipl ing hr fr frau herr z.b d.h u.a p.ex c.-à-d z u d cf viz al डॉ श्री श्रीमती ดร".split()) | set("د م أ أم ص ب ت ا".split())
+# Abbreviations and titles that a sentence doesn't end with, as written before the full stop, in lower case.
+NEVER = set("mr mrs ms sen gov rev capt col gen lt sgt maj cmdr adm hon rep pres supt messrs sra srta dott sig prof.ssa avv gral mgr eq eqs fig figs cap dr prof st sr e.g i.e eg ie vs approx incl excl bzw inkl exkl evtl ggf env mme mlle mm dipl ing hr fr frau herr z.b d.h u.a p.ex ex c.-à-d z u d cf viz al डॉ श्री श्रीमती ดร".split()) | set("د م أ أم ص ب ت ا".split())
 # Abbreviations of which a number is a part.
-NUMBERED = set("no nos nr vol p pp s fig ch sec art ca min max about n° bd abb kap नं रु रू no ver rs ext tel dep art".split())
+NUMBERED = set("no nos nr mwst vol p pp s fig ch sec art ca min max about n° bd abb kap नं रु रू no ver rs ext tel dep art".split())
 # Abbreviations that may also end a sentence.
 MAYBE = set("etc usw u.s.w a.m p.m am pm pcs pc tsp tbsp oz lb lbs kg g mg l ml cl cm mm km h hr hrs min sec pkg inc ltd co corp jr est dept mwst stk std ff إلخ الخ น mon tue wed thu fri sat sun jan feb mar apr jun jul aug sep sept oct nov dec".split())
 # Months after an ordinal number with a full stop.
@@ -30,24 +31,29 @@ REPORTS = set("said says wrote writes asked asks replied added told thought shou
 # Openings with which a sentence goes on after a quotation.
 GOES_ON = re.compile("と(?!ても)|って|という|[，、,؛;–—]|然后|就|ثم |แล้ว|फिर |[^\\s，。！？]{1,8}(?:说|問|问|写道|道|答)[。，！]")
 # Particles that close a Thai sentence.
-THAI_CLOSERS = re.compile("(?:ค่ะ|คะ|ครับ|ครับผม|นะ|จ้ะ|จ้า|ค่า|ฮะ|ล่ะ|เลย)$")
+THAI_CLOSERS = ("ค่ะ", "คะ", "ครับ", "ครับผม", "นะ", "จ้ะ", "จ้า", "ค่า", "ฮะ", "ล่ะ", "เลย")
 
 _BLANK_LINE = re.compile("(?>\r\n|[\n\r \x85])(?:[^\\S\n\r \x85]*(?>\r\n|[\n\r \x85]))+| ")
 _LINE = re.compile(r"[^\n\r \x85]+")
 _ITEM = re.compile(r"[^\S\n]*(?:[-*•‣◦▪–—·●○✓☐+]|\(?(?:\d{1,3}|[٠-٩]{1,3}|[०-९]{1,3})[.)、．]|\(?[a-zA-Z]\))[^\S\n]+\S")
 _BULLET = re.compile(r"[^\S\n]*[-*•‣◦▪–—·●○✓☐+]")
 _TURN = re.compile(r"[^\S\n]*[^\s:：.!?]{2,20}(?:[^\S\n][^\s:：.!?]{1,15})?[^\S\n]?[:：](?=\s|[　-鿿])")
+_LABEL = re.compile(r"^" + _TURN.pattern, re.MULTILINE)
 _END = re.compile("[.!?…。！？؟।॥۔｡]+")
 _OPENING = re.compile("(?:[\"“„«‘'¿¡「『（(]\\s?)*")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W_]+(?:[’'.-][^\W_]+)*")
-_BEFORE = re.compile(r"[^\s\"“”„«»‚‘’「」『』（）()\[\]،,;:؛，、：؛/]+$")
+_EDGE = frozenset("\"“”„«»‚‘’「」『』（）()[]،,;:؛，、：؛/")
 _THAI = re.compile("[฀-๿]")
 _OPEN = {"(": ")", "（": "）", "[": "]", "【": "】", "「": "」", "『": "』", "«": "»", "“": "”", "„": "“", "‹": "›", "《": "》", "〈": "〉", "‘": "’", "»": "«", "{": "}"}
 _BRACKETS = set("(（[【{")
 _QUOTES = re.compile("[" + re.escape("".join(sorted({'"', *_OPEN, *_OPEN.values()}))) + "]")
-#: Longest span, in boundary candidates, that the programme looks back on.
-WINDOW = 64
+_REPORT = re.compile(r"(?:[^\s,.;:!?،。।]+[\s,.;:!?،。।]*){1,3}")
+_REPORT_WORD = re.compile(r"[^\s,.;:!?،。।]+")
+#: Where a length begins to speak against a span, and by how much a character; what is shorter than SHORT and has no letter is none.
+LONG, WEIGHT, SHORT = 600, 0.002, 6
+#: What a blank after Thai letters that close no sentence counts as an end.
+THAI_BLANK = -2.0
 
 
 def pairs(text: str) -> dict[int, int]:
@@ -81,13 +87,13 @@ def pairs(text: str) -> dict[int, int]:
 
 class Splitter:
     """split() gives the sentence spans of a text. openers: lower-case words that sentences often open
-    with; inner: words with an own ! or ?, as in brands, behind which sentences go on."""
+    with; inner: words with an own ! or ?, as in brands, behind which sentences go on; short: learnt abbreviations."""
 
-    def __init__(self, openers: frozenset[str] = frozenset(), inner: frozenset[str] = frozenset()):
-        self.openers, self.inner = openers, inner
+    def __init__(self, openers: frozenset[str] = frozenset(), inner: frozenset[str] = frozenset(), short: frozenset[str] = frozenset()):
+        self.openers, self.inner, self.never = openers, inner, frozenset(NEVER | short)
 
     def split(self, text: str) -> list[tuple[int, int]]:
-        lower_typed = text == text.lower()
+        lower_typed = text == text.lower() or (":" in text or "：" in text) and (bare := _LABEL.sub("", text)) == bare.lower()
         out: list[tuple[int, int]] = []
         at = 0
         for m in _BLANK_LINE.finditer(text):
@@ -132,46 +138,85 @@ class Splitter:
                 out.append((start + a, start + b))
 
     def _segment(self, s: str, lower_typed: bool) -> list[tuple[int, int]]:
+        """The best segmentation: best[j] is the score of the best one that ends at the j-th possible end.
+
+        A span's score is open(i) + close(j) + length(i, j) + quotation(i, j). Lengths from SHORT to LONG are free, longer ones cost
+        evenly, so the best start is the best among the near ones, which a queue keeps, or the best of the far ones, which one
+        number keeps; starts at an own quotation are looked at by themselves. All starts are compared, in linear time.
+        """
         matched = pairs(s)
         closing = {b: a for a, b in matched.items()}
         marks = self._candidates(s, matched, closing, lower_typed)
         if not marks:
             return [(0, len(s))]
-        ends = [m[0] for m in marks] + [len(s)]
-        starts = [0] + [e + (len(s[e:]) - len(s[e:].lstrip()) if e < len(s) and s[e].isspace() else 0) for e in ends[:-1]] if len(s) < 4000 else [0] + [(_SPACE.match(s, e) or re.match("", s)).end() if e < len(s) and s[e].isspace() else e for e in ends[:-1]]
+        ends = [m[0] for m in marks]
+        ends.append(len(s))
+        starts = [0]
+        for e in ends[:-1]:
+            starts.append(_SPACE.match(s, e).end() if s[e].isspace() else e)
         n = len(ends)
-        best, back = [0.0] + [float("-inf")] * n, [0] * (n + 1)
-        for j in range(1, n + 1):
-            mark = marks[j - 1] if j < n else None
-            for i in range(j - 1, max(-1, j - 1 - WINDOW), -1):
-                score = best[i] + self._span(s, starts[i], ends[j - 1], mark, matched)
-                if score > best[j]:
-                    best[j], back[j] = score, i
+        at = {a: i for i, a in enumerate(starts)} if any(m[2] is not None for m in marks) else {}
+        opens = [0.0, *(m[5] for m in marks)]  # what the opening word of the i-th span adds
+        value, back = [0.0] * (n + 1), [0] * (n + 1)
+        near: list[tuple[float, int]] = []  # (best score of a span that starts here, start), scores falling
+        head, far, far_at, left, ready = 0, float("-inf"), 0, 0, 0
+        for j in range(n):
+            end = ends[j]
+            while ready <= j and end - starts[ready] >= SHORT:
+                score = value[ready] + opens[ready]
+                while len(near) > head and near[-1][0] <= score:
+                    near.pop()
+                near.append((score, ready))
+                ready += 1
+            while left <= j and end - starts[left] > LONG:  # leaves the near ones
+                v = value[left] + opens[left] + WEIGHT * starts[left]
+                if v > far:
+                    far, far_at = v, left
+                left += 1
+            while head < len(near) and near[head][1] < left:
+                head += 1
+            close, special, embedded = 0.0, -1, 0.0
+            if j < n - 1:
+                _, close, opener, alone, embedded, _ = marks[j]
+                if opener is not None:
+                    close = 0.0
+                    k = opener
+                    while k and s[k - 1].isspace():
+                        k -= 1
+                    if k and s[k - 1] in ":：":
+                        embedded = alone
+                    else:
+                        special = at.get(opener, -1)
+            best, where = near[head] if head < len(near) else (float("-inf"), j)
+            for i in range(ready, j + 1):  # a few short ones
+                v = value[i] + opens[i] - (0 if any(map(str.isalpha, s[starts[i] : end])) else 4)
+                if v > best:
+                    best, where = v, i
+            if far - WEIGHT * (end - LONG) > best:
+                best, where = far - WEIGHT * (end - LONG), far_at
+            best += embedded
+            if 0 <= special <= j:
+                v = value[special] + opens[special] + alone - max(0.0, WEIGHT * (end - starts[special] - LONG))
+                if where == special or v > best:
+                    if where == special and v < best:  # alone counts for this start; the others are embedded
+                        others = [(value[i] + opens[i] + embedded - max(0.0, WEIGHT * (end - starts[i] - LONG)), i) for i in range(j + 1) if i != special]
+                        best, where = max([(v, special), *others], key=lambda x: (x[0], x[1]))
+                    else:
+                        best, where = v, special
+            value[j + 1], back[j + 1] = best + close, where
         cuts, j = [], n
         while j:
             cuts.append((starts[back[j]], ends[j - 1]))
             j = back[j]
         return cuts[::-1]
 
-    def _span(self, s: str, a: int, b: int, mark: tuple | None, matched: dict[int, int]) -> float:
-        """The score of one whole span: its length, its end and whether a quotation at its end stands alone."""
-        score = 0.0
-        if b - a < 6 and not any(c.isalpha() for c in s[a:b]):
-            score -= 4
-        elif b - a > 600:
-            score -= 0.002 * (b - a - 600)
-        if mark is None:
-            return score
-        _, plain, opener, alone, embedded = mark
-        if opener is None:
-            return score + plain
-        return score + (alone if a == opener or s[a:opener].rstrip()[-1:] in (":", "：") else embedded)
-
     def _candidates(self, s: str, matched: dict[int, int], closing: dict[int, int], lower_typed: bool) -> list[tuple]:
-        """(end, score, opening of a quotation that closes here or None, score if that stands alone, score if not)."""
-        spans = sorted(matched.items())
+        """(end, close, opening of a quotation that closes here or None, score if that stands alone, score if not, open).
+
+        close is what the word and the mark before the end say for it, open what the word behind says.
+        """
         outer: list[tuple[int, int]] = []
-        for a, b in spans:
+        for a, b in sorted(matched.items()):
             if not outer or a > outer[-1][1]:
                 outer.append((a, b))
         outer_starts = [a for a, _ in outer]
@@ -202,10 +247,8 @@ class Splitter:
         if _THAI.search(s):
             for m in _SPACE.finditer(s):
                 e = m.start()
-                if e in found or inside(e) or not e or not _THAI.search(s, max(0, e - 20), e):
-                    continue
-                if THAI_CLOSERS.search(s[max(0, e - 12) : e]) and m.end() < len(s) and s[m.end()] not in "ฯๆ,":
-                    found[e] = (e, 3.0, None, 0, 0)
+                if e and e not in found and "\u0e00" <= s[e - 1] <= "\u0e7f" and m.end() < len(s) and s[m.end()] not in "ฯๆ," and not inside(e):
+                    found[e] = (e, 3.0 if s.endswith(THAI_CLOSERS, 0, e) else THAI_BLANK, None, 0.0, 0.0, 0.0)
         return [found[k] for k in sorted(found)]
 
     def _terminal(self, s: str, m: re.Match, end: int, opener: int | None, lower_typed: bool) -> tuple | None:
@@ -220,8 +263,10 @@ class Splitter:
         cased = letter.lower() != letter.upper()
         lower = cased and letter.islower()
         opens = first in self.openers
-        before = _BEFORE.search(s[max(0, m.start() - 24) : m.start()])
-        prev = before[0] if before else ""
+        k = m.start()
+        while k and s[k - 1] not in _EDGE and not s[k - 1].isspace():
+            k -= 1
+        prev = s[k : m.start()]
         hard = any(x in "。！？؟।॥۔｡" for x in mark)
         if set(mark) <= {".", "…"} and (len(mark) > 1 or "…" in mark):  # suspension points
             if not gap and not cased:
@@ -229,7 +274,8 @@ class Splitter:
             elif lower_typed and cased:
                 score = 1.0 if opens else -1.0
             else:
-                score = 2.5 if cased and not lower else (1.0 if opens and not cased else -3.0)
+                # without capitals to go by, they end a sentence unless a connecting word follows
+                score = 2.5 if cased and not lower else (-3.0 if cased or GOES_ON.match(s, nxt) else 1.0)
         elif hard or "!" in mark or "?" in mark:
             if not gap and not hard and (lower or c.isdigit() or c in "=&/"):
                 return None
@@ -241,24 +287,26 @@ class Splitter:
             if score is None:
                 return None
         if opener is None:
-            return end, score, None, 0, 0
-        rest = s[nxt : nxt + 60]
-        on = bool(GOES_ON.match(rest)) or self._reported(rest)
+            # the opening word speaks for itself: a usual one for the cut, a small one in cased text against it
+            opening = 0.5 if opens else 0.0
+            return end, score - opening, None, 0.0, 0.0, opening
+        on = bool(GOES_ON.match(s, nxt)) or self._reported(s, nxt) and not (opens and cased and not lower)
         if s[opener] in _BRACKETS:
-            return end, 0, opener, -5.0 if lower and not lower_typed else 3.0, -6.0
+            return end, 0.0, opener, -5.0 if lower and not lower_typed else 3.0, -6.0, 0.0
         alone = -5.0 if on or lower and not lower_typed else max(score, 3.0)
         if cased and not lower:
             embedded = 2.0
         elif cased:
-            embedded = (1.5 if opens else -2.0) if lower_typed else -5.0
+            embedded = (1.5 if opens or mark == "." else -2.0) if lower_typed else -5.0  # a full stop inside the quotation closes both
         else:
             embedded = 1.5
-        return end, 0, opener, alone, -5.0 if on else embedded
+        return end, 0.0, opener, alone, -5.0 if on else embedded, 0.0
 
     @staticmethod
-    def _reported(rest: str) -> bool:
+    def _reported(s: str, at: int) -> bool:
         """Whether a quotation is followed by at most two words and a verb that reports speech."""
-        words = [w.lower() for w in re.findall(r"[^\s,.;:!?،。।]+", rest)[:3]]
+        m = _REPORT.match(s, at)
+        words = [w.lower() for w in _REPORT_WORD.findall(m[0])] if m else []
         return any(w in REPORTS for w in words) and not (len(words) > 1 and words[1] in ("from", "von", "de", "aus", "من"))
 
     def _full_stop(self, c: str, letter: str, cased: bool, lower: bool, opens: bool, first: str, prev: str, gap: bool, opener: int | None, lower_typed: bool) -> float | None:
@@ -274,14 +322,14 @@ class Splitter:
                 return None
             elif cased:
                 # a missing blank: two letters or more, small before and a capital after
-                if not (len(key) >= 2 and prev[-1:].islower() and c.isupper() and "." not in key and key not in NEVER):
+                if not (len(key) >= 2 and prev[-1:].islower() and c.isupper() and "." not in key and key not in self.never):
                     return None
                 return 2.0
             else:
-                if len(key) < 2 or key in NEVER or key in MAYBE or prev[-1:].isascii():
+                if len(key) < 2 or key in self.never or key in MAYBE or prev[-1:].isascii():
                     return None
                 return 2.0
-        if key in NEVER or len(key) == 1 and key.isalpha() and (prev.isupper() or key.lower() == key.upper()):
+        if key in self.never or len(key) == 1 and key.isalpha() and (prev.isupper() or key.lower() == key.upper()):
             return -6.0
         if key in NUMBERED and (c.isdigit() or lower and key not in ("no", "s")):
             return -6.0
@@ -300,28 +348,31 @@ class Splitter:
         return 3.0
 
 
-def openers(texts: DataFrame, text_col: str = "text", least: int = 5, share: float = 1e-5) -> frozenset[str]:
-    """Words that open at least a fifth of the places where they stand, counted over all texts.
+def learnt(texts: DataFrame, text_col: str = "text", least: int = 5, share: float = 1e-5) -> Splitter:
+    """A splitter with what one pass over all texts tells about their words.
 
-    A word must open `least` blocks and the given share of all blocks, which bounds the result to 1 / share words.
+    * openers open at least a fifth of the places where they stand: `least` blocks or more and the given share of all, which
+      bounds them to 1 / share words;
+    * inner words have a ! or ? of their own: a small letter follows it more often than not;
+    * abbreviations have at most six letters, mostly a full stop behind them, and behind that a small letter in a third of the
+      places or more. Texts without capitals don't count for these two, and both must be seen `least` times.
     """
-    blocks = texts.where(F.col(text_col).isNotNull()).select(F.explode(F.split(F.lower(text_col), r"\n\s*\n|(?<=[!?؟]) ")).alias("b"))
-    words = blocks.select(F.posexplode(F.regexp_extract_all("b", F.lit(r"[\p{L}\p{M}][\p{L}\p{M}’']*"), F.lit(0))).alias("at", "word"))
-    counts = cut(words.groupBy("word").agg(F.count("*").alias("n"), F.count_if(F.col("at") == 0).alias("first")))
-    total = counts.agg(F.sum("first").alias("t")).first()["t"] or 0
-    rows = counts.where((F.col("first") >= max(least, share * total)) & (F.col("first") * 5 >= F.col("n"))).select("word").collect()
-    return frozenset(r.word for r in rows)
-
-
-def inner_marks(texts: DataFrame, text_col: str = "text", least: int = 3, share: float = 1e-5) -> frozenset[str]:
-    """Words that are more often than not followed by ! or ? and a small letter, in texts that have capitals."""
-    cased = texts.where(F.col(text_col).rlike(r"\p{Lu}"))
-    hits = cased.select(F.explode(F.regexp_extract_all(text_col, F.lit(r"([\p{L}\p{M}]+[!?]+)\s+[\p{L}]"), F.lit(0))).alias("w"))
-    parts = hits.select(F.lower(F.regexp_extract("w", r"^([\p{L}\p{M}]+)", 1)).alias("word"), F.col("w").rlike(r"\p{Ll}$").alias("small"))
-    counts = cut(parts.groupBy("word").agg(F.count("*").alias("n"), F.count_if("small").alias("inner")))
-    total = counts.agg(F.sum("n").alias("t")).first()["t"] or 0
-    rows = counts.where((F.col("inner") >= max(least, share * total)) & (F.col("inner") * 2 > F.col("n"))).select("word").collect()
-    return frozenset(r.word for r in rows)
+    # a word with its mark; the blank behind it belongs to it only where a small letter follows
+    word = r"[\p{L}\p{M}][\p{L}\p{M}’']*(?:[.!?]+(?:\s(?=\p{Ll}))?)?"
+    blocks = texts.where(F.col(text_col).isNotNull()).select(F.col(text_col).rlike(r"\p{Lu}").alias("cased"), F.explode(F.split(text_col, r"\n\s*\n|(?<=[!?؟]) (?!\p{Ll})")).alias("b"))
+    words = blocks.select("cased", F.posexplode(F.regexp_extract_all("b", F.lit(word), F.lit(0))).alias("at", "w"))
+    seen = words.groupBy("cased", "w").agg(F.count("*").alias("n"), F.count_if(F.col("at") == 0).alias("first"))
+    plain = F.lower(F.regexp_extract("w", r"^([\p{L}\p{M}’']+)", 1))
+    stop, mark, small = F.col("w").rlike(r"^[^.!?]+\.\s?$"), F.col("w").rlike(r"[!?]\s?$"), F.col("w").rlike(r"\s$")
+    of = lambda c: F.sum(F.when(c & F.col("cased"), F.col("n")).otherwise(0))
+    counts = cut(seen.groupBy(plain.alias("word")).agg(F.sum("n").alias("n"), F.sum("first").alias("first"), of(stop).alias("stops"), of(stop & small).alias("stops_small"), of(mark).alias("marks"), of(mark & small).alias("marks_small"), of(F.lit(True)).alias("cased_n")))
+    total = counts.agg(F.sum("first").alias("f"), F.sum("marks").alias("m"), F.sum("stops").alias("s")).first()
+    many = lambda c, of_all: F.col(c) >= max(least, share * (of_all or 0))
+    opens = many("first", total.f) & (F.col("first") * 5 >= F.col("n"))
+    inner = many("marks_small", total.m) & (F.col("marks_small") * 2 > F.col("marks"))
+    short = many("stops_small", total.s) & (F.char_length("word") <= 6) & (F.col("stops_small") * 3 >= F.col("stops")) & (F.col("stops") * 2 > F.col("cased_n"))
+    rows = counts.select("word", opens.alias("o"), inner.alias("i"), short.alias("s")).where("o or i or s").collect()
+    return Splitter(*(frozenset(r.word for r in rows if r[c]) for c in ("o", "i", "s")))
 
 
 def sentences(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: Splitter | None = None) -> DataFrame:
@@ -329,17 +380,18 @@ def sentences(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null and blank texts have none; repeated rows give repeated spans; texts may be of any length.
     """
-    splitter = Splitter(openers(texts, text_col), inner_marks(texts, text_col)) if known is None else known
+    splitter = learnt(texts, text_col) if known is None else known
 
-    def cut_up(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, a, z = [], [], []
-            for i, t in zip(b["id"], b["text"]):
-                for x, y in splitter.split(t):
-                    ids.append(i)
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                spans = splitter.split(t)
+                ids += [i] * len(spans)
+                for x, y in spans:
                     a.append(x)
                     z.append(y)
-            yield pd.DataFrame({id_col: ids, "start_pos": a, "end_pos": z})
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(a, pa.int64()), pa.array(z, pa.int64())], [id_col, "start_pos", "end_pos"])
 
     rows = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(cut_up, f"{id_col} long, start_pos long, end_pos long")
+    return rows.mapInArrow(cut_up, f"`{id_col}` long, start_pos long, end_pos long")

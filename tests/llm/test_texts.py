@@ -154,3 +154,52 @@ def test_tokens(spark):
     assert got[2] is None and got[3] == 0 and got[1] >= 3 and got[4] >= 1
     e = tokens.encoding(tokens.TOKENIZER)
     assert e.decode(e.encode_ordinary("milk ａ حليب\n\n x")) == "milk ａ حليب\n\n x"
+
+
+def test_titles_turns_and_suspension():
+    for t in ("Sen. Smith met Gov. Brown at noon.", "Rev. Adams and Capt. Lee came.", "La Sra. Lopez llegó.", "Il Dott. Bianchi è qui.", "See Eq. Seven.", "Certaines marques, p. ex. Aba, sont chères.", "Das kostet inkl. MwSt. 3,20 Euro."):
+        assert split(t) == [t]
+    assert split("Assistant: use one cup. stir it well.\nShopper: fine. thanks!") == ["Assistant: use one cup.", "stir it well.", "Shopper: fine.", "thanks!"]
+    assert split("يا له من طعم… السعر جيد. انتظرت... ثم ذاب.") == ["يا له من طعم…", "السعر جيد.", "انتظرت... ثم ذاب."]
+
+
+def test_long_paragraphs_have_no_window():
+    marks = " ".join(f"no. {i}" for i in range(3_000))
+    assert split(f"We list {marks} here. Then it ends.") == [f"We list {marks} here.", "Then it ends."]
+    many = "It is fine. " * 5_000
+    assert split(many) == ["It is fine."] * 5_000
+    assert split('"' + many.strip() + '"') == ['"' + many.strip() + '"']
+
+
+def test_segmentation_is_the_best_of_all(monkeypatch):
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    monkeypatch.setattr(sentences, "LONG", 30)
+    monkeypatch.setattr(sentences, "WEIGHT", 0.1)
+    for _ in range(60):
+        t = " ".join(rng.choice(["Good.", "bad.", "No. 7", "Mr. X", "Wait...", "So?", "7.", '"Fine."', "it", "Then", "(ok.)"]) for _ in range(9))
+        sp = sentences.Splitter(frozenset(["then"]))
+        matched = sentences.pairs(t)
+        marks = sp._candidates(t, matched, {b: a for a, b in matched.items()}, False)
+        ends = [m[0] for m in marks] + [len(t)]
+        starts = [0] + [e + (len(t[e:]) - len(t[e:].lstrip())) for e in ends[:-1]]
+
+        def value(cuts):
+            total, i = 0.0, 0
+            for j in [*cuts, len(ends) - 1]:
+                a, b = starts[i], ends[j]
+                total += marks[i - 1][5] if i else 0.0
+                if b - a < sentences.SHORT and not any(c.isalpha() for c in t[a:b]):
+                    total -= 4
+                total -= max(0.0, 0.1 * (b - a - 30))
+                if j < len(marks):
+                    _, close, opener, alone, embedded, _ = marks[j]
+                    total += close if opener is None else alone if a == opener or t[:opener].rstrip()[-1:] == ":" else embedded
+                i = j + 1
+            return total
+
+        best = max(value(c) for k in range(len(marks) + 1) for c in itertools.combinations(range(len(marks)), k))
+        got = sp._segment(t, False)
+        assert abs(value([ends.index(b) for _, b in got[:-1]]) - best) < 1e-9, t
