@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -348,6 +349,36 @@ class Splitter:
         return 3.0
 
 
+_MARKS = "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x300, 0x36F), (0x64B, 0x65F), (0x900, 0x903), (0x93A, 0x93C), (0x93E, 0x94F), (0x951, 0x957), (0x962, 0x963), (0xE31, 0xE31), (0xE34, 0xE3A), (0xE47, 0xE4E)))
+#: A word with its mark; the blank behind it belongs to it only where a small letter follows.
+_COUNTED = re.compile(f"(?:[^\\W\\d_]+[{_MARKS}’']*)+(?:[.!?]+(?:\\s(?=[a-zß-öø-ÿα-ωа-яё]))?)?")
+_BLOCKS = re.compile("\n\\s*\n|(?<=[!?؟]) (?![a-zß-öø-ÿα-ωа-яё])")
+#: Distinct words that a task counts before it passes them on.
+HELD = 500_000
+
+
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cased, w, n, first): words with their marks, counted in each partition, and how many of them open a block."""
+
+    def give() -> pa.RecordBatch:
+        keys = [(c, w) for c in (False, True) for w in all_[c]]
+        return pa.RecordBatch.from_arrays([pa.array([c for c, _ in keys], pa.bool_()), pa.array([w for _, w in keys], pa.string()), pa.array([all_[c][w] for c, w in keys], pa.int64()), pa.array([first[c][w] for c, w in keys], pa.int64())], ["cased", "w", "n", "first"])
+
+    all_, first = (Counter(), Counter()), (Counter(), Counter())
+    for b in batches:
+        for t in b.column(0).to_pylist():
+            cased = t != t.lower()
+            for block in _BLOCKS.split(t):
+                words = _COUNTED.findall(block)
+                if words:
+                    all_[cased].update(words)
+                    first[cased][words[0]] += 1
+        if len(all_[0]) + len(all_[1]) > HELD:
+            yield give()
+            all_, first = (Counter(), Counter()), (Counter(), Counter())
+    yield give()
+
+
 def learnt(texts: DataFrame, text_col: str = "text", least: int = 5, share: float = 1e-5) -> Splitter:
     """A splitter with what one pass over all texts tells about their words.
 
@@ -357,11 +388,8 @@ def learnt(texts: DataFrame, text_col: str = "text", least: int = 5, share: floa
     * abbreviations have at most six letters, mostly a full stop behind them, and behind that a small letter in a third of the
       places or more. Texts without capitals don't count for these two, and both must be seen `least` times.
     """
-    # a word with its mark; the blank behind it belongs to it only where a small letter follows
-    word = r"[\p{L}\p{M}][\p{L}\p{M}’']*(?:[.!?]+(?:\s(?=\p{Ll}))?)?"
-    blocks = texts.where(F.col(text_col).isNotNull()).select(F.col(text_col).rlike(r"\p{Lu}").alias("cased"), F.explode(F.split(text_col, r"\n\s*\n|(?<=[!?؟]) (?!\p{Ll})")).alias("b"))
-    words = blocks.select("cased", F.posexplode(F.regexp_extract_all("b", F.lit(word), F.lit(0))).alias("at", "w"))
-    seen = words.groupBy("cased", "w").agg(F.count("*").alias("n"), F.count_if(F.col("at") == 0).alias("first"))
+    rows = texts.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")).mapInArrow(_counted, "cased boolean, w string, n long, first long")
+    seen = rows.groupBy("cased", "w").agg(F.sum("n").alias("n"), F.sum("first").alias("first"))
     plain = F.lower(F.regexp_extract("w", r"^([\p{L}\p{M}’']+)", 1))
     stop, mark, small = F.col("w").rlike(r"^[^.!?]+\.\s?$"), F.col("w").rlike(r"[!?]\s?$"), F.col("w").rlike(r"\s$")
     of = lambda c: F.sum(F.when(c & F.col("cased"), F.col("n")).otherwise(0))
