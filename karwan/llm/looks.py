@@ -1,9 +1,9 @@
 """Visually identical text in different characters: one plain form for every value.
 
 The words of all values that hold only ordinary characters make the vocabulary. A word with other
-characters is looked up by a weighted edit automaton over vocabulary tries, in which exchanging
-look-alikes and skipping ignorable characters is free and every other edit exceeds the budget; the most
-frequent spelling that it reaches is the canonical one. Words that reach none are rewritten by table.
+characters is looked up by a weighted edit automaton over vocabulary tries: exchanging look-alikes, leaving out
+ignorable characters and putting accents together with their letters cost nothing, every other edit costs 1. The cheapest,
+then the most frequent spelling within the budget is the canonical one. Words that reach none are rewritten by table.
 """
 
 from __future__ import annotations
@@ -11,48 +11,131 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import reduce
+from functools import cache, reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from karwan.runtime import width
+from karwan.runtime import cut, small, width
 
-# Characters that can't be seen.
-IGNORABLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
-# Blanks other than the plain one.
-BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
-# Cyrillic, Greek and other letters that look like a Latin one.
-LATIN_DOUBLES = {
+# Letters of other scripts and rare Latin letters that look like an ordinary Latin one, by script.
+CYRILLIC = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y", "Ԍ": "G", "Һ": "h",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ԛ": "q", "ԝ": "w", "һ": "h", "ԁ": "d", "ӏ": "l", "ү": "y", "ё": "ë", "ї": "ï", "Ё": "Ë", "Ї": "Ï", "к": "k", "т": "t", "м": "m", "н": "h", "в": "b",
+}
+GREEK = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "α": "a", "ι": "i", "κ": "k", "ρ": "p", "υ": "u", "χ": "x", "γ": "y", "ϲ": "c", "Ϲ": "C", "ϳ": "j", "ό": "ó", "ά": "á", "ί": "í",
-    "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "ɑ": "a", "ɡ": "g", "ı": "i",
+    "Ⲁ": "A", "Ⲃ": "B", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X", "ⲭ": "x",
 }
+ARMENIAN = {"օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "յ": "j", "Օ": "O", "Տ": "S", "Լ": "L"}
+CHEROKEE = {"Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭹ": "Y", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮞ": "4", "Ꮟ": "b", "Ꮢ": "R", "Ꮤ": "W", "Ꮥ": "S", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ꮷ": "d", "Ᏻ": "G", "Ᏼ": "B"}
+LISU = {"ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U"}
+RARE_LATIN = {"ɑ": "a", "ɡ": "g", "ı": "i", "ɩ": "i", "ʋ": "v", "ꜱ": "s"}
 # Letters that look like an Arabic one in some place of a word.
 ARABIC_DOUBLES = {"ی": "يى", "ې": "ي", "ک": "ك", "ڪ": "ك", "ھ": "ه", "ہ": "ه", "ە": "ه", "ۀ": "ه\u0654", "ۂ": "ه\u0654", "ۃ": "ة", "ٲ": "أ", "ٳ": "إ", "ٶ": "ؤ", "ٸ": "ئ", "ۍ": "ى"}
-# Code point ranges whose characters are compatibility forms of ordinary ones.
-FORMS = ((0x2160, 0x217F), (0xFB00, 0xFB06), (0xFB50, 0xFDFB), (0xFE70, 0xFEFC), (0xFF01, 0xFFEE), (0x1D400, 0x1D7FF))
+# Characters that can't be seen although their category doesn't say so; signs that can although it is Cf; a blank that is a sign.
+UNSEEN = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\uffa0"
+SEEN = "\u0600\u0601\u0602\u0603\u0604\u0605\u06dd\u070f\u0890\u0891\u08e2"
+BLANK_SIGN = "\u2800"
+#: Costs of an edit that changes the look, and what a look-up may spend.
+EDIT, BUDGET = 1.0, 0.5
+#: A value is hot if at least one in so many odd rows holds it.
+HOT = 1_000
+
+
+def _all_characters() -> Iterator[str]:
+    """Every character of the planes in use but surrogates, private use and Hangul and Chinese blocks, which have no doubles here."""
+    for a, b in ((0, 0x3400), (0x4DC0, 0x4E00), (0xA000, 0xAC00), (0xF900, 0x11000), (0x16000, 0x17000), (0x1B000, 0x1F000), (0x1F100, 0x1F200), (0x1FB00, 0x1FC00), (0xE0000, 0xE1000)):
+        yield from map(chr, range(a, b))
+
+
+def _plain_letters(s: str) -> bool:
+    """Whether s consists of ASCII, Latin or Arabic characters."""
+    return all(c < "\x7f" or unicodedata.name(c, "").startswith(("LATIN", "ARABIC")) or unicodedata.combining(c) for c in s)
+
+
+@cache
+def unicode_forms() -> dict[str, str]:
+    """Characters that are another form of ordinary ones by the Unicode data, and those.
+
+    Fonts, widths, places in a word and, for letters and number letters, other compatibility forms count; raised, lowered,
+    circled and squared ones are signs that a reader sees. Small capitals count by their names.
+    """
+    out = {}
+    for c in _all_characters():
+        kind = unicodedata.decomposition(c)
+        if kind.startswith("<"):
+            tag = kind[1 : kind.index(">")]
+            known = tag in ("font", "wide", "narrow", "initial", "medial", "final", "isolated") or tag == "compat" and unicodedata.category(c) in ("Lu", "Ll", "Lt", "Lo", "Lm", "Nl")
+            plain = unicodedata.normalize("NFKC", c)
+            if known and plain != c and _plain_letters(plain):
+                out[c] = plain
+        else:
+            name = unicodedata.name(c, "")
+            if name.startswith("LATIN LETTER SMALL CAPITAL ") and len(name) == 28:
+                out[c] = name[-1].lower()
+    return out
+
+
+@cache
+def unseen() -> frozenset[str]:
+    """Characters that can't be seen, by their category or as listed."""
+    tags = {chr(o) for a, b in ((0xFE00, 0xFE0F), (0xE0000, 0xE0FFF)) for o in range(a, b + 1)}
+    return frozenset({c for c in _all_characters() if unicodedata.category(c) == "Cf"} - set(SEEN) | set(UNSEEN) | tags)
+
+
+def _blanks() -> str:
+    return "".join(c for c in _all_characters() if unicodedata.category(c) in ("Zs", "Zl", "Zp") and c != " ") + BLANK_SIGN
 
-_SUSPECT = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in IGNORABLE + BLANKS + "".join(ARABIC_DOUBLES)) + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in FORMS) + "\\x{300}-\\x{36F}\\x{370}-\\x{3FF}\\x{400}-\\x{52F}\\x{653}-\\x{655}\\x{6F0}-\\x{6F9}\\x{585}\\x{57D}\\x{570}\\x{578}\\x{581}\\x{251}\\x{261}\\x{131}\\x{FE00}-\\x{FE0F}]"
-_THIRD = re.compile("[Ͱ-ϿЀ-ԯհ-օ]")
+
+BLANKS = _blanks()
+SMALL_CAPITALS = {c: s for c, s in unicode_forms().items() if unicodedata.name(c, "").startswith("LATIN LETTER SMALL CAPITAL")}
+LATIN_DOUBLES = CYRILLIC | GREEK | ARMENIAN | CHEROKEE | LISU | RARE_LATIN | SMALL_CAPITALS
+#: What isn't seen, of the characters that a class of a regular expression can list one by one.
+IGNORABLE = "".join(sorted(c for c in unseen() if c <= "\uffff"))
+
+
+def ranges(characters: Iterable[str]) -> str:
+    """The inside of a character class for Java's regular expressions."""
+    out: list[list[int]] = []
+    for o in sorted({ord(c) for c in characters}):
+        if out and out[-1][1] == o - 1:
+            out[-1][1] = o
+        else:
+            out.append([o, o])
+    return "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out)
+
+
+def _suspects() -> str:
+    marks = {chr(o) for a, b in ((0x300, 0x36F), (0x653, 0x655), (0x1AB0, 0x1AFF), (0x1DC0, 0x1DFF), (0x20D0, 0x20F0)) for o in range(a, b + 1)}
+    digits = {chr(o) for o in range(0x6F0, 0x6FA)}
+    greek_cyrillic = {chr(o) for a, b in ((0x370, 0x3FF), (0x400, 0x52F)) for o in range(a, b + 1)}
+    return ranges({*unseen(), *BLANKS, *unicode_forms(), *ARABIC_DOUBLES, *LATIN_DOUBLES, *marks, *digits, *greek_cyrillic})
+
+
+#: Characters that no look-alike, blank or unseen one is among: most values hold only these and are settled at a glance.
+_ORDINARY = r"[^\x{20}-\x{7E}\x{A1}-\x{AC}\x{AE}-\x{130}\x{621}-\x{652}\x{660}-\x{66C}\x{670}\x{67E}\x{686}\x{6AF}\x{6A4}]"
+_SUSPECT = "[" + _suspects() + "]"
+_THIRD = re.compile("[" + "".join({*CYRILLIC, *GREEK, *ARMENIAN, *CHEROKEE, *LISU}) + "\u0370-\u03ff\u0400-\u052f]")
 _LATIN = re.compile("[A-Za-zÀ-ɏ]")
-_OTHER_LATIN = {"ɑ", "ɡ", "ı"}
+_OTHER_LATIN = set(RARE_LATIN) | set(SMALL_CAPITALS)
 
 
-def is_form(c: str) -> bool:
-    return any(a <= ord(c) <= b for a, b in FORMS)
+def suspect(c: Column) -> Column:
+    """Whether a value holds characters that may stand for ordinary ones."""
+    return c.rlike(_ORDINARY) & c.rlike(_SUSPECT)
 
 
 def expand(word: str) -> str:
     """The word without ignorable characters, compatibility forms and Persian digits, in composed letters."""
+    forms, gone = unicode_forms(), unseen()
     out = []
     for c in word:
-        if c in IGNORABLE or 0xFE00 <= ord(c) <= 0xFE0F:
+        if c in gone:
             continue
-        if is_form(c):
-            out.append(unicodedata.normalize("NFKC", c))
+        if c in forms and c not in SMALL_CAPITALS:
+            out.append(forms[c])
         elif "۰" <= c <= "۹":
             out.append(chr(ord(c) - 0x06F0 + 0x0660))
         else:
@@ -91,8 +174,21 @@ def by_table(word: str) -> str:
     return unicodedata.normalize("NFC", s)
 
 
+def _readings(c: str) -> list[str]:
+    """What a character may stand for at no cost: itself, its ordinary forms and its doubles."""
+    out = [c, unicode_forms().get(c, c), *ARABIC_DOUBLES.get(c, ()), LATIN_DOUBLES.get(c, c)]
+    if "۰" <= c <= "۹":
+        out.append(chr(ord(c) - 0x06F0 + 0x0660))
+    if c in SMALL_CAPITALS:
+        out.append(SMALL_CAPITALS[c].upper())
+    if c in ARABIC_DOUBLES and len(ARABIC_DOUBLES[c]) > 1 and unicodedata.combining(ARABIC_DOUBLES[c][1]):
+        out.append(unicodedata.normalize("NFC", ARABIC_DOUBLES[c]))
+    # a double of a form, as in a styled Greek letter
+    return list(dict.fromkeys([*out, *(LATIN_DOUBLES[x] for x in out if x in LATIN_DOUBLES), *(y for x in out for y in ARABIC_DOUBLES.get(x, ()))]))
+
+
 class Trie:
-    """Vocabulary words with their counts; look() runs the zero-cost edit automaton over it."""
+    """Vocabulary words with their counts; look() runs the weighted edit automaton over it."""
 
     END = ""
 
@@ -105,34 +201,82 @@ class Trie:
             node = node.setdefault(c, {})
         node[self.END] = (n, word)
 
-    def look(self, word: str) -> str | None:
-        """The most frequent word that differs only in look-alikes and ignorables, or None; ties take the first in order."""
-        s = expand(word)
-        states = [self.root]
-        for c in s:
-            step = []
-            for node in states:
-                for x in {c, *ARABIC_DOUBLES.get(c, ()), LATIN_DOUBLES.get(c, c)}:
-                    if x in node and x != self.END:
-                        step.append(node[x])
-            states = step
-            if not states:
-                return None
-        ends = [node[self.END] for node in states if self.END in node]
-        return min(ends, key=lambda e: (-e[0], e[1]))[1] if ends else None
-
-
-def _canonical(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    trie, words = Trie(), []
+    def look(self, word: str, budget: float = BUDGET) -> str | None:
+        """The cheapest word within the budget, of equally cheap ones the most frequent, then the first in order; None if there is none.
+
+        The automaton's states after a prefix of the word are nodes of the trie with the least cost to reach them. A character
+        is read as itself or as what it may stand for, as nothing if it can't be seen, together with the accents behind it as one
+        letter: all free. Exchanging, leaving out or putting in any other character costs EDIT.
+        """
+        gone = unseen()
+        states: list[dict[int, tuple[float, dict]]] = [{} for _ in range(len(word) + 1)]
+
+        def reach(at: int, node: dict, cost: float) -> None:
+            known = states[at].get(id(node))
+            if cost <= budget and (known is None or cost < known[0]):
+                states[at][id(node)] = (cost, node)
+
+        def along(node: dict | None, text: str) -> dict | None:
+            for c in text:
+                node = node.get(c) if node is not None else None
+            return node
+
+        reach(0, self.root, 0.0)
+        for i in range(len(word) + 1):
+            if not states[i]:
+                continue
+            if budget >= EDIT:  # a character that the word lacks
+                todo = list(states[i].values())
+                while todo:
+                    cost, node = todo.pop()
+                    for c, child in node.items():
+                        if c != self.END and cost + EDIT <= budget and (id(child) not in states[i] or states[i][id(child)][0] > cost + EDIT):
+                            reach(i, child, cost + EDIT)
+                            todo.append((cost + EDIT, child))
+            if i == len(word):
+                break
+            c = word[i]
+            marks, j = "", i + 1
+            composed = []  # (next place, letter with the accents up to there)
+            while j < len(word) and (word[j] in gone or unicodedata.combining(word[j])):
+                if word[j] not in gone:
+                    marks += word[j]
+                    composed += [(j + 1, x) for r in _readings(c) if len(r) == 1 and (x := unicodedata.normalize("NFC", r + marks)) != r + marks]
+                j += 1
+            free = _readings(c)
+            for cost, node in states[i].values():
+                if c in gone:
+                    reach(i + 1, node, cost)
+                for text in free:
+                    if (to := along(node, text)) is not None:
+                        reach(i + 1, to, cost)
+                for place, text in composed:
+                    if (to := along(node, text)) is not None:
+                        reach(place, to, cost)
+                if cost + EDIT <= budget:
+                    reach(i + 1, node, cost + EDIT)
+                    for x, child in node.items():
+                        if x != self.END:
+                            reach(i + 1, child, cost + EDIT)
+            states[i] = {}
+        ends = [(cost, *node[self.END]) for cost, node in states[len(word)].values() if self.END in node]
+        return min(ends, key=lambda e: (e[0], -e[1], e[2]))[2] if ends else None
+
+
+def _canonical(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key, vocabulary first: one trie at a time is held, that of the key at hand."""
+    key, trie = None, Trie()
     for b in batches:
-        for word, n in zip(b["word"], b["n"]):
+        words, plain = [], []
+        for k, word, n in zip(*(c.to_pylist() for c in b.columns)):
+            if k != key:
+                key, trie = k, Trie()
             if n > 0:
-                trie.add(word, int(n))
+                trie.add(word, n)
             else:
                 words.append(word)
-    for at in range(0, len(words), 20_000):
-        part = words[at : at + 20_000]
-        yield pd.DataFrame({"word": part, "plain": [trie.look(w) or by_table(w) for w in part]})
+                plain.append(trie.look(word) or by_table(word))
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(plain, pa.string())], ["word", "plain"])
 
 
 def _translation() -> tuple[str, str, list[tuple[str, str]]]:
@@ -147,10 +291,10 @@ def _translation() -> tuple[str, str, list[tuple[str, str]]]:
         s = "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))
         return "".join(LATIN_DOUBLES.get(c, c) for c in s)
 
-    codes = [*range(0xC0, 0x250), *range(0x370, 0x590), *range(0x600, 0x700), 0x251, 0x261, 0x131, *range(0x1E00, 0x1F00)]
-    for o in codes + [o for a, b in FORMS for o in range(a, b + 1)]:
-        c = chr(o)
-        s = base(unicodedata.normalize("NFKC", c) if is_form(c) else chr(o - 0x06F0 + 0x0660) if 0x06F0 <= o <= 0x06F9 else c)
+    forms = unicode_forms()
+    codes = [*range(0xC0, 0x250), *range(0x370, 0x590), *range(0x600, 0x700), *range(0x1E00, 0x1F00)]
+    for c in dict.fromkeys([*map(chr, codes), *LATIN_DOUBLES, *forms]):
+        s = base(forms[c] if c in forms else chr(ord(c) - 0x06F0 + 0x0660) if "۰" <= c <= "۹" else c)
         if s != c and len(s) == 1:
             pairs[c] = s
         elif len(s) > 1 and s != c:
@@ -159,13 +303,13 @@ def _translation() -> tuple[str, str, list[tuple[str, str]]]:
 
 
 def skeleton(word: Column) -> Column:
-    """A coarse key that words of the same look share."""
+    """A coarse form that words of the same look share."""
     a, b, long = _translation()
     by_text: dict[str, str] = {}
     for c, s in long:
         by_text[s] = by_text.get(s, "") + c
     lam_alef = by_text.get("لا", "")
-    out = F.regexp_replace(word, f"[{IGNORABLE}\u0300-\u036f\u0653-\u0655\ufe00-\ufe0f]", "")
+    out = F.regexp_replace(word, f"[{ranges(unseen())}\\x{{300}}-\\x{{36F}}\\x{{653}}-\\x{{655}}]", "")
     out = F.regexp_replace(out, f"[{lam_alef}]", "لا")
     # other characters that stand for several are rare: they all share the empty place
     rest = "".join(c for s, cs in by_text.items() if s != "لا" for c in cs)
@@ -173,24 +317,30 @@ def skeleton(word: Column) -> Column:
     return out
 
 
+def trie_key(word: Column) -> Column:
+    """What words of one trie share: the first letters of their skeleton and its length, so that tries stay of a bounded kind."""
+    s = skeleton(word)
+    return F.concat(F.lower(F.substring(s, 1, 3)), F.lit(" "), F.char_length(s).cast("string"))
+
+
 def plain_values(values: DataFrame) -> DataFrame:
-    """(value, plain) for the distinct values that are not in their plain form.
+    """(value, plain, n) for the distinct values that are not in their plain form; n rows hold the value.
 
     values: (field, value, n), whole columns; the vocabulary is counted over all of them. Null values are left out,
     blank ones are plain unless they hold odd blanks. What can be seen stays: vowel marks, stretched letters, hamza, signs.
     """
     spark = values.sparkSession
     counted = values.where("value is not null").groupBy("value").agg(F.sum("n").alias("n"))
-    suspect = counted.where(F.col("value").rlike(_SUSPECT)).select("value")
+    odd = counted.where(suspect(F.col("value")))
     words = counted.select(F.explode(F.split(F.translate("value", BLANKS, " " * len(BLANKS)), " ")).alias("word"), "n").where("word <> ''")
-    words = words.groupBy("word").agg(F.sum("n").alias("n"))
-    strange = words.where(F.col("word").rlike(_SUSPECT)).select("word", F.lit(0).cast("long").alias("n")).withColumn("key", skeleton(F.col("word")))
-    vocabulary = words.where(~F.col("word").rlike(_SUSPECT)).withColumn("key", skeleton(F.col("word"))).select("word", "n", "key")
-    near = vocabulary.join(strange.select("key").distinct(), "key", "left_semi").select("word", "n", "key")
-    found = strange.unionByName(near).repartition(width(spark), "key").select("word", "n").mapInPandas(_canonical, "word string, plain string")
-    pieces = suspect.select("value", F.posexplode(F.split(F.translate("value", BLANKS, " " * len(BLANKS)), " ")).alias("at", "word"))
+    words = words.groupBy("word").agg(F.sum("n").alias("n")).withColumn("odd", suspect(F.col("word")))
+    keyed = words.select("word", F.when(F.col("odd"), F.lit(0)).otherwise(F.col("n")).cast("long").alias("n"), trie_key(F.col("word")).alias("key"))
+    wanted = keyed.where("n = 0").select("key").distinct()
+    near = keyed.join(wanted, "key", "left_semi").repartition(width(spark), "key").sortWithinPartitions("key", F.desc("n"))
+    found = near.select("key", "word", "n").mapInArrow(_canonical, "word string, plain string")
+    pieces = odd.select("value", "n", F.posexplode(F.split(F.translate("value", BLANKS, " " * len(BLANKS)), " ")).alias("at", "word"))
     rebuilt = pieces.join(found, "word", "left").groupBy("value").agg(
-        F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("plain", "word").alias("w")))), lambda x: x["w"])).alias("plain"))
+        F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("plain", "word").alias("w")))), lambda x: x["w"])).alias("plain"), F.first("n").alias("n"))
     return rebuilt.where("plain <> value")
 
 
@@ -201,6 +351,17 @@ def unpivot(tables: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
 
 
 def changed(rows: DataFrame) -> DataFrame:
-    """(field_name, record_id, value, plain) for the rows (field_name, record_id, value) that differ from their plain form."""
-    plain = plain_values(rows.groupBy(F.col("field_name").alias("field"), "value").agg(F.count("*").alias("n")))
-    return rows.where(F.col("value").rlike(_SUSPECT)).join(plain, "value").select("field_name", "record_id", "value", "plain")
+    """(field_name, record_id, value, plain) for the rows (field_name, record_id, value) that differ from their plain form.
+
+    Values held by at least one in HOT rows, of which there are HOT at most, are joined by a broadcast, all others by a shuffle.
+    """
+    counted = rows.groupBy(F.col("field_name").alias("field"), "value").agg(F.count("*").alias("n"))
+    plain = cut(plain_values(counted))
+    odd = rows.where(suspect(F.col("value")))
+    one = small(plain.select("value", "plain"))
+    total = odd.agg(F.count("*").alias("total"))
+    hot = plain.join(F.broadcast(total)).where(F.col("n") * HOT >= F.col("total")).select("value", F.col("plain").alias("hot"))
+    marked = odd.join(F.broadcast(hot), "value", "left")
+    out = [F.col(c) for c in ("field_name", "record_id", "value")]
+    cold = marked.where("hot is null").join(one, "value").select(*out, "plain")
+    return marked.where("hot is not null").select(*out, F.col("hot").alias("plain")).unionByName(cold)

@@ -52,3 +52,22 @@ def test_empty_clashing_and_long(spark):
 @pytest.mark.parametrize("word", ["abc", "شي", "Жилка"])
 def test_table_is_stable(word):
     assert L.by_table(L.by_table(word)) == L.by_table(word) == word
+
+
+def test_characters_by_unicode_data(spark):
+    odd = {"ℳilk": "Milk", "ᴀpple": "apple", "Ꭺpple": "Apple", "a\u2028b": "a b", "a\u3164b": "ab", "a\U000e0061b": "ab", "ﬁsh": "fish", "𝓑ay": "Bay", "cafe\u200b\u0301": "café"}
+    same = ["H₂O", "x²", "½", "①", "Bay™", "№ 5", "ªº", "ไทยคำ", "हिन्दी", "Ꭰᏺ", "ꓐꓑ"]
+    got = plain(spark, [*odd, *same])
+    assert {v: got.get(v) for v in odd} == odd
+    assert not set(same) & set(got)
+    assert plain(spark, ["ᴀpple", "Apple", "Apple pie"]) == {"ᴀpple": "Apple"}  # the vocabulary decides between letters
+
+
+def test_automaton_costs():
+    trie = L.Trie()
+    for w, n in (("café", 3), ("cafe", 9), ("caff", 1), ("كلينازا", 2)):
+        trie.add(w, n)
+    assert trie.look("cafe\u0301") == "café" and trie.look("с\u200bafе\u2060\u0301") == "café"
+    assert trie.look("cafx") is None and trie.look("caf") is None and trie.look("cafee") is None
+    assert trie.look("cafx", 1.0) == "cafe" and trie.look("caf", 1.0) == "cafe" and trie.look("cafee", 1.0) == "cafe" and trie.look("cxfx", 1.0) is None and trie.look("cxfx", 2.0) == "cafe"
+    assert trie.look("کلینازا") == "كلينازا" and trie.look("ﻛﻠﻴﻨﺎﺯﺍ") == "كلينازا"
