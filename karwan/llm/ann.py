@@ -16,20 +16,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from karwan.llm.quantiser import WIDE_STAGES, Quantiser
+from karwan.llm.quantiser import Quantiser
 from karwan.runtime import cut, width
 
 STAGES, CODEWORDS, BEAM = 10, 128, 8
 #: A cell is named by so many codes at most.
-DEEPEST = 6
-#: Cells that a vector is looked up in: its own and the best others of the beam.
-PROBES = 6
+DEEPEST = 3
+#: Cells that a vector is looked up in, its own and the best others of the beam, by the number of codes that name them: more
+#: where cells are finer, so that the recall stays (README has it for every depth). In crowded cells 4 * BEAM finer ones are looked into.
+PROBES = (1, 6, 8, 32)
+#: Width of the beam by the number of codes that name a cell.
+BEAMS = (8, 8, 8, 32)
 #: Vectors that most meet in their own cell, at most; cells with more than CELL_ROWS vectors are made finer.
 MEET, CELL_ROWS = 1500, 20_000
+#: Rows of one block of a cell that stays crowded.
+BLOCK_ROWS = 2048
 #: Rows of the bounded sample that the codebooks are fitted on.
 SAMPLE_ROWS = 20_000
 #: How far the estimate from codes may lie under the wanted cosine.
-SLACK = 0.1
+SLACK = 0.13
 PAIRS_AT_ONCE = 500_000
 
 
@@ -87,9 +92,10 @@ def names(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def cells(own: np.ndarray, first: np.ndarray, most: int = PROBES) -> pa.Array:
+def cells(own: np.ndarray, first: np.ndarray, most: int | None = None) -> pa.Array:
     """For each row its own cell, then the other distinct ones of the beam's first stages, best first, `most` in all at most."""
     level = first.shape[-1]
+    most = PROBES[level] if most is None else most
     all_ = np.concatenate([names(own[:, :level])[:, None], names(first)], 1)
     fresh = np.ones(all_.shape, bool)
     for j in range(1, all_.shape[1]):
@@ -104,7 +110,7 @@ def _encoder(q: Quantiser, size: int, level: int):
             at, x = matrix(b.column(1), size)
             if not len(at):
                 continue
-            codes, first = q.encode(x, BEAM, early=level)
+            codes, first = q.encode(x, BEAMS[level], early=level)
             own = np.ascontiguousarray(codes[:, 0])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -120,42 +126,67 @@ def _encoder(q: Quantiser, size: int, level: int):
     return encode
 
 
-def _finer(q: Quantiser, level: int):
-    """(rep, codes, norm, cells) again with cells of that level, from the vectors that the codes stand for."""
+def _finer(q: Quantiser, size: int, level: int):
+    """(rep, digest, codes, norm, cells) again with cells of that level, from the vectors; rows are (rep, digest, codes, norm, vector)."""
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                own = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, STAGES)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), cells(own, q.encode(q.decode(own), 4 * BEAM, early=level)[1], 4 * BEAM)], ["rep", "codes", "norm", "cells"])
+            at, x = _own(b.column(4), b.column(1), size)
+            if len(at):
+                rows = [b.column(i).take(pa.array(at)) for i in range(4)]
+                own = np.frombuffer(b"".join(rows[2].to_pylist()), np.uint8).reshape(-1, STAGES)
+                yield pa.RecordBatch.from_arrays([*rows, cells(own, q.encode(x, 4 * BEAM, early=level)[1], 4 * BEAM)], ["rep", "digest", "codes", "norm", "cells"])
 
     return encode
 
 
+def _own(vectors: pa.Array, of: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """matrix() of the vectors that have the digest beside them: an id may have come with several vectors."""
+    at, x = matrix(vectors, size)
+    same = np.array([d == of[int(i)].as_py() for d, i in zip(digests(x), at)], bool)
+    return at[same], x[same]
+
+
 def level_for(codes: np.ndarray, n: int) -> int:
     """How many codes name a cell: as few as leave most of n distinct vectors at most MEET others in their own cell, judged by a sample's codes.
 
     Most, not the average: a dense group must not deepen everybody's cells; _candidates makes the cells finer that it crowds.
-    Vectors that even the deepest cells here leave crowded don't count. The beam is still whole at WIDE_STAGES codes.
+    Vectors that even the deepest cells leave crowded don't count. Beyond DEEPEST codes too many near pairs would share no cell, so
+    then cells grow, and those that are crowded are compared exactly.
     """
     met = []
-    for level in range(WIDE_STAGES + 1):
+    for level in range(DEEPEST + 1):
         _, cell, rows = np.unique(names(codes[:, :level]), return_inverse=True, return_counts=True)
         met.append((rows[cell] - 1) / max(len(codes) - 1, 1) * n)
     parted = met[-1] <= MEET
     for level, m in enumerate(met):
         if not parted.any() or np.median(m[parted]) <= MEET:
             return level
-    return WIDE_STAGES
+    return DEEPEST
 
 
 def _pairs_in_cells(q: Quantiser, least: float):
     """Pairs of one cell whose estimated cosine is at least `least`; rows are (cell, block, id, codes, norm, kept)."""
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = [b for b in batches if b.num_rows]
-        if not whole:
-            return
+        """Rows come sorted by cell and block; what is held is one batch and the group that it breaks off in."""
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cell, block = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            last = int(np.flatnonzero((cell != cell[-1]) | (block != block[-1]))[-1] + 1) if (cell[0], block[0]) != (cell[-1], block[-1]) else 0
+            if held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (cell[0], block[0]):
+                yield from pairs(held)
+                held = []
+            if last:
+                yield from pairs([*held, b.slice(0, last)])
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield from pairs(held)
+
+    def pairs(whole: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(whole)
         cell, block, ids, kept = (t[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("cell", "block", "id", "kept"))
         codes = np.frombuffer(b"".join(t["codes"].to_pylist()), np.uint8).reshape(-1, STAGES)
@@ -222,51 +253,83 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = 0.92, size: int =
     level = level_for(q.encode(some, BEAM)[0][:, 0], n)
     encoded = cut(vectors.mapInArrow(_encoder(q, size, level), "id long, digest binary, codes binary, norm float, cells array<long>"))
     classes = cut(encoded.groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.first("codes").alias("codes"), F.first("norm").alias("norm"), F.first("cells").alias("cells")))
-    pairs = _candidates(classes, q, level, least - SLACK)
+    pairs, dense = _candidates(classes, vectors, size, q, level, k, least)
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     # one row an id: a row delivered twice would double its pairs
     needed = vectors.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("vector").alias("vector"))
     with_a = pairs.join(needed.select(F.col("id").alias("a"), F.col("vector").alias("va")), "a")
     with_b = with_a.join(needed.select(F.col("id").alias("b"), F.col("vector").alias("vb")), "b").select("a", "b", "va", "vb")
     exact = with_b.mapInArrow(_cosines(size, least), "a long, b long, cosine double")
-    return _best(exact, encoded, classes, k)
+    return _best(exact if dense is None else exact.unionByName(dense), encoded, classes, k)
 
 
-def _candidates(classes: DataFrame, q: Quantiser, level: int, least: float) -> DataFrame:
-    """(a, b), a < b: class representatives that share a cell and may reach the cosine.
+def _candidates(classes: DataFrame, vectors: DataFrame, size: int, q: Quantiser, level: int, k: int, least: float) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b), a < b: class representatives that share a cell and may reach the cosine; and (a, b, cosine) of crowded cells or None.
 
-    A cell that is crowded is named by one code more, DEEPEST at most; if it still is, its vectors are split into blocks
-    and every query meets all of them, so that no pair of a cell is lost.
+    A cell that is crowded is named by one code more, DEEPEST at most, which its vectors are encoded for again. Vectors of a
+    cell that still is crowded are compared with each other exactly.
     """
-    live, rows, crowded = classes.select("rep", "codes", "norm", "cells"), None, None
+    live, rows, crowded, dense = classes.select("rep", "digest", "codes", "norm", "cells"), None, None, None
     while True:
-        looked = live.select("rep", "codes", "norm", F.posexplode("cells").alias("at", "cell"))
+        looked = live.select("rep", "digest", "codes", "norm", F.posexplode("cells").alias("at", "cell"))
         if crowded is not None:  # only what lies in a cell that was crowded a level before
             parent = F.floor(F.col("cell") / F.lit(CODEWORDS)).cast("long")
             looked = looked.withColumn("parent", parent).join(crowded.select(F.col("cell").alias("parent")), "parent", "left_semi").drop("parent")
         crowded = cut(looked.where("at = 0").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS))
-        part = looked.join(crowded.select("cell"), "cell", "left_anti").withColumn("block", F.lit(0))
-        done = crowded.isEmpty()
-        if not done and level == DEEPEST:
-            part, done = part.unionByName(_blocks(looked, crowded)), True
-        part = part.withColumn("level", F.lit(level))
+        part = looked.join(crowded.select("cell"), "cell", "left_anti").withColumn("level", F.lit(level)).drop("digest")
         rows = part if rows is None else rows.unionByName(part)
-        if done:
+        if crowded.isEmpty():
+            break
+        inside = looked.join(crowded.select("cell"), "cell", "left_semi")
+        if level == DEEPEST:
+            dense = _dense(inside, crowded, vectors, size, k, least)
             break
         level += 1
-        inside = looked.join(crowded.select("cell"), "cell", "left_semi").select("rep", "codes", "norm").distinct()
-        live = cut(inside.mapInArrow(_finer(q, level), "rep long, codes binary, norm float, cells array<long>"))
-    rows = rows.select((F.col("cell") * (STAGES + 1) + F.col("level")).alias("cell"), "block", F.col("rep").alias("id"), "codes", "norm", (F.col("at") == 0).alias("kept"))
-    return cut(rows.repartition(width(classes.sparkSession), "cell", "block").mapInArrow(_pairs_in_cells(q, least), "a long, b long").distinct())
-
-
-def _blocks(looked: DataFrame, crowded: DataFrame) -> DataFrame:
-    sized = looked.join(crowded.select("cell", F.ceil(F.col("n") / F.lit(CELL_ROWS)).cast("int").alias("blocks")), "cell")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    homes = sized.where("at = 0").withColumn("block", own)
-    # a kept vector also meets those that other blocks keep, as a query
-    visits = sized.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(~((F.col("at") == 0) & (F.col("block") == own))).withColumn("at", F.lit(1))
-    return homes.unionByName(visits).drop("blocks")
+        again = inside.select("rep", "digest", "codes", "norm").distinct().join(vectors.select(F.col("id").alias("rep"), "vector"), "rep").select("rep", "digest", "codes", "norm", "vector")
+        live = cut(again.mapInArrow(_finer(q, size, level), "rep long, digest binary, codes binary, norm float, cells array<long>").dropDuplicates(["rep", "digest"]))
+    rows = rows.select((F.col("cell") * (STAGES + 1) + F.col("level")).alias("cell"), F.lit(0).alias("block"), F.col("rep").alias("id"), "codes", "norm", (F.col("at") == 0).alias("kept"))
+    scored = rows.repartition(width(classes.sparkSession), "cell").sortWithinPartitions("cell").mapInArrow(_pairs_in_cells(q, least - SLACK), "a long, b long")
+    return cut(scored.distinct()), dense
+
+
+def _dense(inside: DataFrame, crowded: DataFrame, vectors: DataFrame, size: int, k: int, least: float) -> DataFrame:
+    """(a, b, cosine): for every vector that looks into a crowded cell its k nearest of those kept there, exactly.
+
+    Vectors travel in blocks; each block of looking ones meets each block of kept ones once, spread over as many tasks as a
+    cell has blocks of looking ones, and gives k rows a vector at most, never all pairs.
+    """
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK_ROWS)).cast("int")
+    rows = inside.select("rep", "digest", "at", "cell").join(crowded.select("cell", blocks.alias("blocks")), "cell").join(vectors.select(F.col("id").alias("rep"), "vector"), "rep")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep", "digest"), F.col("blocks")).cast("int"))
+
+    def pack(t: pa.Table) -> pa.Table:
+        at, x = _own(t["vector"].combine_chunks(), t["digest"].combine_chunks(), size)
+        ids, first = np.unique(t["rep"].to_numpy()[at], return_index=True)
+        n = int(len(ids) > 0)
+        return pa.table({"cell": t["cell"][:n], "block": t["block"][:n], "blocks": t["blocks"][:n], "ids": pa.array([ids.tolist()][:n], pa.list_(pa.int64())), "x": pa.array([x[first].tobytes()][:n], pa.binary())})
+
+    schema = "cell long, block int, blocks int, ids array<long>, x binary"
+    packed = lambda r: cut(r.select("cell", "block", "blocks", "rep", "digest", "vector").groupBy("cell", "block").applyInArrow(lambda t: pack(t), schema))
+    kept, looking = packed(rows.where("at = 0")), packed(rows)
+    spread = F.ceil(F.sqrt("blocks")).cast("int")
+    kept = kept.withColumn("salt", F.explode(F.sequence(F.lit(0), spread - 1))).select("cell", "salt", F.col("ids").alias("k_ids"), F.col("x").alias("k_x"))
+    looking = looking.withColumn("salt", F.pmod("block", spread).cast("int")).select("cell", "salt", "ids", "x")
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, x, k_ids, k_x in zip(*(b.column(c).to_pylist() for c in range(4))):
+                ids, k_ids = np.array(ids), np.array(k_ids)
+                cos = np.frombuffer(x, np.float32).reshape(-1, size).astype(np.float64) @ np.frombuffer(k_x, np.float32).reshape(-1, size).astype(np.float64).T
+                cos[ids[:, None] == k_ids[None, :]] = -2
+                last = np.partition(cos, -k, axis=1)[:, -k :][:, :1] if cos.shape[1] > k else np.full((len(ids), 1), -2.0)
+                i, j = np.nonzero((cos >= last) & (cos >= least))
+                order = np.lexsort((k_ids[j], -cos[i, j], i))
+                i, j = i[order], j[order]
+                top = np.arange(len(i)) - np.searchsorted(i, i) < k
+                i, j = i[top], j[top]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(k_ids[j]), pa.array(cos[i, j])], ["a", "b", "cosine"])
+
+    return looking.join(kept, ["cell", "salt"]).select("ids", "x", "k_ids", "k_x").mapInArrow(meet, "a long, b long, cosine double")
 
 
 def _best(exact: DataFrame, encoded: DataFrame, classes: DataFrame, k: int, salts: int = 16) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 
 
-#: Stages that keep the whole beam; later ones, whose codes only refine a sum, keep a quarter.
+#: Stages that keep the whole beam, as do all that name a cell; later ones, whose codes only refine a sum, keep a quarter.
 WIDE_STAGES = 4
 
 
@@ -93,7 +93,7 @@ class Quantiser:
             cross += (self.norm2[s] - 2 * dots[:, s])[:, None, :]
             cross += cost[:, :, None]
             total = cross.reshape(n, -1)
-            keep = min(beam if s < WIDE_STAGES else max(1, beam // 4), total.shape[1])
+            keep = min(beam if s < max(WIDE_STAGES, early) else max(1, beam // 4), total.shape[1])
             best = np.argpartition(total, keep - 1, axis=1)[:, :keep] if keep < total.shape[1] else np.tile(np.arange(keep), (n, 1))
             values = np.take_along_axis(total, best, 1)
             order = np.argsort(values, axis=1, kind="stable")

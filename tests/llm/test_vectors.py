@@ -86,26 +86,49 @@ def test_a_tight_third_leaves_the_other_cells_shallow():
     assert ann.level_for(codes, 234_000) == 1
 
 
-def test_blocks_of_a_cell_lose_no_pair(spark, data, monkeypatch):
-    monkeypatch.setattr(ann, "CELL_ROWS", 6)
-    q = Quantiser.train(data, ann.STAGES, ann.CODEWORDS)
-    rows = [(i, bytearray(ann.STAGES), 1.0, [0]) for i in range(1, 24)]
-    classes = spark.createDataFrame(rows, "rep long, codes binary, norm float, cells array<long>")
-    got = {tuple(r) for r in ann._candidates(classes, q, 0, -9.0).collect()}
-    assert got == {(a, b) for a in range(1, 24) for b in range(a + 1, 24)}
+def test_a_cell_that_stays_crowded_is_compared_exactly(spark, data, monkeypatch):
+    monkeypatch.setattr(ann, "CELL_ROWS", 60)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(ann, "DEEPEST", 0)
+    tight = unit(data[:1] + 0.03 * np.random.default_rng(5).normal(size=(700, WIDTH))).astype(np.float32)
+    rows = frame(spark, np.concatenate([data[130:400], tight]))
+    got = {}
+    twice = spark.createDataFrame([(300, [float(a) for a in data[500]])], rows.schema)  # an id with a second vector
+    for r in ann.neighbours(rows.union(twice), 3, 0.95, WIDTH).where("id > 270 and id <> 300").collect():
+        got.setdefault(r.id, []).append(r.cosine)
+    want = brute(tight, 0.95, 3)
+    assert len(want) == 700
+    assert all(np.allclose(sorted(got[270 + i]), sorted(want[i].values()), atol=2e-6) for i in want if i != 30)
 
 
 def test_cells(data, monkeypatch):
     q = Quantiser.train(data, ann.STAGES, ann.CODEWORDS)
     codes, first = q.encode(data, 8, early=2)
     got = ann.cells(codes[:, 0], first).to_pylist()
-    assert all(1 <= len(c) == len(set(c)) <= ann.PROBES for c in got)
+    assert all(1 <= len(c) == len(set(c)) <= ann.PROBES[2] for c in got)
     assert [c[0] for c in got] == ann.names(codes[:, 0, :2]).tolist()
     assert ann.level_for(codes[:, 0], 900) == 0
     monkeypatch.setattr(ann, "MEET", 20)
     assert ann.level_for(codes[:, 0], 900) == 1
 
 
+@pytest.mark.parametrize("level", range(1, ann.DEEPEST + 1))
+def test_recall_of_cells_at_every_depth(level):
+    """As fine as 128 ** level cells make it: what matters is only whether near pairs still share one."""
+    rng = np.random.default_rng(11)
+    means = unit(rng.normal(size=(60, 64)))
+    x = unit(means[rng.integers(0, 60, 6_000)] + 0.08 * rng.normal(size=(6_000, 64)))
+    x[3_000:] = unit(x[:3_000] + rng.uniform(0.01, 0.052, (3_000, 1)) * rng.normal(size=(3_000, 64)))
+    x = x.astype(np.float32)
+    near = np.flatnonzero((x[:3_000] * x[3_000:]).sum(1) >= 0.92)
+    q = Quantiser.train(x, ann.STAGES, ann.CODEWORDS, rounds=4)
+    codes = q.encode(x, ann.BEAM)[0][:, 0]
+    got = [set(c) for c in ann.cells(codes, q.encode(x, ann.BEAMS[level], early=level)[1]).to_pylist()]
+    own = ann.names(codes[:, :level])
+    met = [own[i] in got[i + 3_000] or own[i + 3_000] in got[i] for i in near]
+    assert len(near) > 2_000 and np.mean(met) >= 0.95
+
+
 def test_empty_and_single(spark):
     none = spark.createDataFrame([], "id long, vector array<float>")
     assert ann.neighbours(none, 5, 0.9, WIDTH).collect() == []
