@@ -32,9 +32,9 @@ MEET, CELL_ROWS = 1500, 20_000
 #: Rows of one block of a cell that stays crowded.
 BLOCK_ROWS = 2048
 #: Rows of the bounded sample that the codebooks are fitted on.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 40_000
 #: How far the estimate from codes may lie under the wanted cosine.
-SLACK = 0.13
+SLACK = 0.1
 PAIRS_AT_ONCE = 500_000
 
 
