@@ -1,61 +1,258 @@
-"""Free text to known phrases: windows of words, exact and fuzzy phrase matches, support of windows in the corpus."""
+"""Free text to known names: exact and fuzzy phrase matches, their evidence in the corpus, and a query's category and brand.
+
+Queries are rows (qid, q) and run together. Every step gives at most one row a query: (qid, slug, ..., rest), where rest is the
+text without what was matched; a query that matches nothing has no row.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from karwan.functions import similarity as S
 from karwan.functions import text as T
 from karwan.operators.retrieval import Index
+from karwan.runtime import cut
+
+# Least similarity, that of words with evidence of their own, documents that make such evidence, and the share of
+# them that a name must hold to be exempt from it.
+CUTOFF, STRICT, ATTESTED, OVERLAP = 80.0, 95.0, 3, 0.1
+# Words of a window at most, for brands, categories and evidence.
+BRAND_WORDS, CATEGORY_WORDS, EVIDENCE_WORDS = 3, 6, 4
+# Windows that are never a brand.
+BRAND_BLOCKED = (
+    "wafer", "wafers", "fish", "chip", "chips", "salt", "flour", "yeast", "baking", "wine", "dairy", "clean", "spicy", "مايونيز", "حلوى", "خميرة", "زبادي",
+    "لين", "شامبو", "breast", "براند", "an", "or", "for", "any", "sure", "fine", "today", "in", "on", "at", "much", "but", "if", "give", "shall", "down",
+    "off", "over", "again", "one", "في", "إلى", "الى", "هل", "لا", "كام", "لأ", "انا", "انتي", "فيه", "فين", "اي", "cookie", "dish", "fat",
+)
+# Fixed value: a word that no brand holds.
+BRAND_EXCLUDED = ("بدون",)
+# Windows that are never a category.
+CATEGORY_BLOCKED = ("price", "venus", "cheesa", "break", "dream", "farm cheese", "delia", "milka", "astra", "beast", "chocodate", "nucream", "me", "من", "زي", "اي")
+# What people call a category in the singular, and compounds, by slug.
+SINGULAR_ALIASES = {
+    "cheese": ("جبنة", "جبن"), "meat": ("لحمة",), "milk_29": ("لبن", "حليب"), "seafood": ("سمك", "سمكة"), "vegetables_3286": ("خضار", "خضرة"), "nuts_seeds_16871": ("مكسرة",),
+    "cereals_5700": ("حبة",), "canned_vegetables_fruits_5697": ("خضار معلبة",), "frozen_vegetables_11674": ("خضار مجمدة",),
+}
+COMPOUND_ALIASES = {"full_cream_milk_31": ("full fat milk",), "skimmed_milk_39": ("low fat milk",)}
+# Negations in the order in which they are tried, words behind one that may name what is left out, marks of a free-from name.
+NEGATIONS = (r"من\s+غير", "بدون", "without", "no", r"free\s+from")
+NEGATED_WORDS = 3
+FREE_MARKS = ("free", "خالي", "خال")
+
+_EDGE = r"[^\p{L}\p{N}_]"
+
+
+def _words(c: Column) -> Column:
+    return F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda x: x != "")
+
+
+def _among(c: Column, values: tuple[str, ...]) -> Column:
+    return F.array_contains(F.array(*[T.normalize(F.lit(v)) for v in values]), c) if values else F.lit(False)
 
 
 def windows(queries: DataFrame, longest: int) -> DataFrame:
-    """(qid, start, words, phrase): every run of at most `longest` normalised words of queries(qid, q)."""
-    w = queries.select("qid", T.raw_tokens(F.col("q")).alias("w"))
-    each = w.select("qid", "w", F.posexplode("w").alias("start", "x")).select("qid", "w", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("start")))).alias("words"))
-    return each.select("qid", "start", "words", F.array_join(F.slice("w", F.col("start") + 1, F.col("words")), " ").alias("phrase"))
+    """(qid, start, words, parts, phrase): every run of at most `longest` words of queries(qid, q), as typed and normalised as a whole."""
+    each = queries.select("qid", _words(F.col("q")).alias("w")).select("qid", "w", F.posexplode("w").alias("start", "x"))
+    each = each.select("qid", "w", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("start")))).alias("words"))
+    parts = each.select("qid", "start", "words", F.slice("w", F.col("start") + 1, F.col("words")).alias("parts"))
+    return parts.withColumn("phrase", T.normalize(F.array_join("parts", " "))).where("phrase <> ''")
 
 
-def exact_phrases(queries: DataFrame, phrases: DataFrame, longest: int = 6) -> DataFrame:
-    """(qid, slug, start, words): the known phrase(slug, phrase) with most words; of equally long ones the first in Arabic, the last otherwise.
+def exact_phrases(queries: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(qid, slug, start, words, rest): the known phrase(slug, phrase) with most words that the text holds; start counts characters.
 
-    An equality join on word windows: a phrase inside a word doesn't match. Ties by slug.
+    Case doesn't count, words may be any blanks apart, a leading article of a phrase's word may be missing, and a phrase must not
+    start or end inside a word. Of each phrase the first place counts; of phrases with equally many words the first in a text
+    with Arabic letters, the last otherwise, then the smallest slug. It is an equality join of the texts' runs of pieces (words,
+    blanks and signs) with the phrases', of any length.
     """
-    known = phrases.select("slug", F.array_join(T.raw_tokens(F.col("phrase")), " ").alias("phrase")).where("phrase <> ''").distinct()
-    hits = windows(queries, longest).join(known, "phrase")
-    side = F.when(T.is_arabic(F.col("phrase")), F.col("start")).otherwise(-F.col("start"))
-    return hits.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("words"), side, "slug"))).where("r = 1").select("qid", "slug", "start", "words")
+    piece = F.lit(r"([\p{L}\p{N}_]+|\s+|[^\p{L}\p{N}_\s]+)")
+    pieces = lambda c: F.regexp_extract_all(c, piece, F.lit(1))
+    # a word with an article stands for itself and for the word without it
+    option = lambda w: F.when(w.startswith("ال") & (F.char_length(w) > 2), F.array(w, w.substr(F.lit(3), F.char_length(w)))).otherwise(F.array(w))
+    spell = lambda done, w: F.flatten(F.transform(done, lambda d: F.transform(option(w), lambda o: F.when(d == "", o).otherwise(F.concat(d, F.lit(" "), o)))))
+    known = phrases.select("slug", _words(F.lower("phrase")).alias("w")).where("size(w) > 0").distinct()
+    known = known.select("slug", F.size("w").alias("words"), F.explode(F.aggregate("w", F.array(F.lit("")), spell)).alias("key"))
+    known = cut(known.withColumn("n", F.size(pieces(F.col("key")))).distinct())
+    longest = known.agg(F.max("n")).first()[0] or 0  # one number
+    texts = queries.select("qid", F.coalesce("q", F.lit("")).alias("q")).withColumn("p", pieces(F.col("q")))
+    at = texts.select("qid", "q", "p", F.posexplode("p").alias("i", "x")).where(F.col("x").rlike(r"^[\p{L}\p{N}_]"))
+    runs = at.select("qid", "q", F.char_length(F.array_join(F.slice("p", 1, F.col("i")), "")).alias("start"), F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("p") - F.col("i")))).alias("n"), "p", "i")
+    runs = runs.withColumn("text", F.array_join(F.slice("p", F.col("i") + 1, F.col("n")), "")).drop("p", "i").withColumn("key", F.regexp_replace(F.lower("text"), r"\s+", " "))
+    hits = runs.join(known, ["key", "n"]).where(F.col("text").rlike(r"[\p{L}\p{N}_]$"))
+    first = hits.groupBy("qid", "slug", "words", "q").agg(F.min(F.struct("start", "text")).alias("m")).select("qid", "slug", "words", "q", "m.*")
+    side = F.when(T.is_arabic(F.col("q")), F.col("start")).otherwise(-F.col("start"))
+    best = first.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("words"), side, "slug"))).where("r = 1")
+    rest = F.concat(F.substring("q", F.lit(1), F.col("start")), F.col("q").substr(F.col("start") + F.char_length("text") + 1, F.char_length("q")))
+    return best.select("qid", "slug", F.col("start").cast("int").alias("start"), "words", rest.alias("rest"))
 
 
-def support(index: Index, found: DataFrame) -> DataFrame:
-    """(phrase, support): how many documents hold every word of each phrase of found(phrase); 0 where a word is unknown."""
-    distinct = found.select("phrase").distinct()
-    terms = T.trim_plurals(distinct.select("phrase", F.explode(F.array_distinct(T.raw_tokens(F.col("phrase")))).alias("token")), index.base).distinct()
-    n = terms.groupBy("phrase").agg(F.count("*").alias("n"))
-    docs = terms.join(index.tf.select("id", "token"), "token").groupBy("phrase", "id").agg(F.count("*").alias("k")).join(n, "phrase").where("k = n")
-    return distinct.join(docs.groupBy("phrase").agg(F.count("*").alias("support")), "phrase", "left").na.fill(0, ["support"])
+def documents_of(index: Index, found: DataFrame) -> DataFrame:
+    """(parts, id): the documents that hold the first token of every word of each window found(parts); none if a word has no token."""
+    distinct = found.select("parts").distinct().withColumn("key", F.array_join("parts", " "))
+    first = distinct.select("parts", "key", F.posexplode(F.transform("parts", lambda w: F.get(T.raw_tokens(w), 0))).alias("at", "token"))
+    whole = first.groupBy("key").agg(F.count_if(F.col("token").isNull()).alias("none")).where("none = 0").select("key")
+    terms = T.trim_plurals(first.join(whole, "key", "left_semi").select("key", "token"), index.base).distinct()
+    n = terms.groupBy("key").agg(F.count("*").alias("n"))
+    docs = terms.join(index.tf.select("id", "token"), "token").groupBy("key", "id").agg(F.count("*").alias("k")).join(n, "key").where("k = n")
+    return docs.join(distinct, "key").select("parts", "id")
 
 
-def fuzzy_phrases(index: Index, queries: DataFrame, phrases: DataFrame, cutoff: float = 80.0, strict: float = 95.0, attested: int = 3, longest: int = 4, blocked: tuple[str, ...] = ()) -> DataFrame:
-    """(qid, slug, start, words, score): the window of words most similar to a known phrase.
+def fuzzy_phrases(
+    index: Index, queries: DataFrame, phrases: DataFrame, longest: int, blocked: tuple[str, ...] = (), excluded: tuple[str, ...] = (), protected: DataFrame | None = None,
+    articles: bool = False, members: DataFrame | None = None, evidence: bool = True,
+) -> DataFrame:
+    """(qid, slug, start, words, score, rest): the window of words most similar to a known phrase(slug, phrase); start counts words.
 
-    A window that at least `attested` documents hold as it stands needs `strict`; blocked windows match nothing. The best
-    score wins, then the longer window, the earlier one and the slug.
+    * a window in `blocked` matches nothing, nor does one with an `excluded` word;
+    * a window with a protected(qid, word) word needs STRICT instead of CUTOFF;
+    * so does, with evidence, a window that ATTESTED documents or more hold, but not against a name whose members(slug, id) are at
+      least the share OVERLAP of those documents; without members no name is exempt;
+    * with articles a window and a phrase are also compared without leading articles, and the better score counts.
+    The best score wins, then the longer window, the earlier one and the slug.
     """
-    w = windows(queries, longest).where(~F.col("phrase").isin(*blocked)) if blocked else windows(queries, longest)
-    known = phrases.select("slug", F.array_join(T.raw_tokens(F.col("phrase")), " ").alias("r")).where("r <> ''").distinct()
-    pairs = S.similar_pairs(w.select(F.col("phrase").alias("l")), known.select("r"), cutoff)
-    hits = pairs.withColumnRenamed("l", "phrase").join(known, "r")
-    held = support(index, hits.select("phrase"))
-    hits = hits.join(held, "phrase").where((F.col("support") < attested) | (F.col("score") >= strict))
-    best = w.join(hits, "phrase").withColumn("r_", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), F.desc("words"), "start", "slug")))
-    return best.where("r_ = 1").select("qid", "slug", "start", "words", F.round("score", 6).alias("score"))
-
-
-def attested_window(index: Index, queries: DataFrame, least: int = 3, longest: int = 4) -> DataFrame:
-    """(qid, start, words, support): the longest run of two words or more whose words at least `least` documents hold together; the earliest of equals."""
-    w = windows(queries, longest).where("words >= 2")
-    held = w.join(support(index, w), "phrase").where(F.col("support") >= least)
+    w = windows(queries, longest).where(~_among(F.col("phrase"), blocked))
+    if excluded:
+        w = w.where(~F.exists("parts", lambda x: _among(T.normalize(x), excluded)))
+    w = cut(w)
+    known = cut(phrases.select("slug", T.normalize(F.col("phrase")).alias("r")).where("r <> ''").distinct())
+    scores = S.similar_pairs(w.select(F.col("phrase").alias("l")), known.select("r"), CUTOFF)
+    if articles:
+        bare_l, bare_r = w.select("phrase", T.strip_article(F.col("phrase")).alias("l")).distinct(), known.select(F.col("r").alias("name"), T.strip_article(F.col("r")).alias("r")).distinct()
+        bare = S.similar_pairs(bare_l.select("l"), bare_r.select("r"), CUTOFF).join(bare_l, "l").join(bare_r, "r").select(F.col("phrase").alias("l"), F.col("name").alias("r"), "score")
+        scores = scores.unionByName(bare).groupBy("l", "r").agg(F.max("score").alias("score"))
+    hits = cut(w.join(scores.withColumnRenamed("l", "phrase"), "phrase").join(known, "r").groupBy("qid", "start", "words", "parts", "slug").agg(F.max(F.round("score", 9)).alias("score")))
+    need = F.lit(CUTOFF)
+    if protected is not None:
+        kept = protected.groupBy("qid").agg(F.collect_set("word").alias("own"))  # words of one query
+        hits = hits.join(kept, "qid", "left").withColumn("strict", F.coalesce(F.exists("parts", lambda x: F.array_contains("own", T.normalize(x))), F.lit(False))).drop("own")
+        need = F.when(F.col("strict"), STRICT).otherwise(CUTOFF)
+    if evidence:
+        docs = cut(documents_of(index, hits))
+        n = docs.groupBy("parts").agg(F.count("*").alias("n")).where(F.col("n") >= ATTESTED)
+        hits = hits.join(n, "parts", "left")
+        share = F.lit(0.0)
+        if members is not None:
+            pairs = hits.where("n is not null").select("parts", "slug").distinct().join(docs, "parts")
+            both = pairs.join(members.select("slug", "id").distinct(), ["slug", "id"]).groupBy("parts", "slug").agg(F.count("*").alias("both"))
+            hits = hits.join(both, ["parts", "slug"], "left")
+            share = F.coalesce("both", F.lit(0)) / F.col("n")
+        need = F.when(F.col("n").isNotNull() & (share < OVERLAP), STRICT).otherwise(need)
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("words"), "start", "slug")
+    best = hits.where(F.col("score") >= need - 1e-9).withColumn("r_", F.row_number().over(order)).where("r_ = 1").select("qid", "slug", "start", "words", "score")
+    left = F.concat(F.slice("w", 1, F.col("start")), F.slice("w", F.col("start") + F.col("words") + 1, F.size("w")))
+    return best.join(queries.select("qid", _words(F.col("q")).alias("w")), "qid").select("qid", "slug", "start", "words", F.round("score", 6).alias("score"), F.array_join(left, " ").alias("rest"))
+
+
+def attested_window(index: Index, queries: DataFrame) -> DataFrame:
+    """(qid, start, words, support): the longest run of two words or more whose words ATTESTED documents hold together; the earliest of equals."""
+    w = windows(queries, EVIDENCE_WORDS).where("words >= 2")
+    held = w.join(documents_of(index, w).groupBy("parts").agg(F.count("*").alias("support")), "parts").where(F.col("support") >= ATTESTED)
     return held.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("words"), "start"))).where("r = 1").select("qid", "start", "words", "support")
+
+
+@dataclass
+class Names:
+    """What a query may name: categories(slug, phrase) with aliases(slug, phrase), brands(slug, phrase), and the members (slug, id) of each."""
+
+    index: Index
+    categories: DataFrame
+    brands: DataFrame
+    category_members: DataFrame
+    brand_members: DataFrame
+
+    def aliases(self) -> DataFrame:
+        """Aliases of the categories that exist: (slug, phrase, singular)."""
+        rows = [(s, p, one) for table, one in ((SINGULAR_ALIASES, True), (COMPOUND_ALIASES, False)) for s, ps in table.items() for p in ps]
+        return self.categories.sparkSession.createDataFrame(rows, "slug string, phrase string, singular boolean")
+
+    def phrases(self) -> DataFrame:
+        return self.categories.select("slug", "phrase").unionByName(self.aliases().select("slug", "phrase"))
+
+    def fuzzy_brand(self, queries: DataFrame, protected: DataFrame | None = None) -> DataFrame:
+        return fuzzy_phrases(self.index, queries, self.brands, BRAND_WORDS, BRAND_BLOCKED, BRAND_EXCLUDED, protected, members=self.brand_members)
+
+    def fuzzy_category(self, queries: DataFrame, phrases: DataFrame | None = None, blocked: tuple[str, ...] = CATEGORY_BLOCKED) -> DataFrame:
+        return fuzzy_phrases(self.index, queries, self.phrases() if phrases is None else phrases, CATEGORY_WORDS, blocked, articles=True, members=self.category_members)
+
+    def category(self, queries: DataFrame) -> DataFrame:
+        """(qid, slug, words, rest): the exact category, else the fuzzy one. A singular alias yields to a fuzzy name with more words."""
+        exact = cut(exact_phrases(queries, self.phrases()).select("qid", "slug", "words", "rest"))
+        alias = exact.join(self.aliases().where("singular").select("slug").distinct(), "slug", "left_semi")
+        real = self.categories.select("slug", "phrase").unionByName(self.aliases().where("not singular").select("slug", "phrase"))
+        longer = self.fuzzy_category(queries.join(alias.select("qid"), "qid", "left_semi"), real).select("qid", "slug", "words", "rest")
+        longer = longer.join(alias.select("qid", F.col("words").alias("had")), "qid").where("words > had").drop("had")
+        other = self.fuzzy_category(queries.join(exact.select("qid"), "qid", "left_anti")).select("qid", "slug", "words", "rest")
+        return exact.join(longer.select("qid"), "qid", "left_anti").unionByName(longer).unionByName(other)
+
+    def free_from(self, concepts: DataFrame) -> DataFrame:
+        """(concept, slug, score): of the categories whose name holds a mark of FREE_MARKS the one with the word most similar to concepts(concept)."""
+        name = self.phrases().select("slug", F.split(T.normalize(F.col("phrase")), " ").alias("w"))
+        marked = name.where(F.exists("w", lambda x: _among(x, FREE_MARKS)))
+        words = marked.select("slug", F.explode("w").alias("word")).where(~_among(F.col("word"), FREE_MARKS))
+        forms = words.select("slug", F.explode(F.array("word", T.strip_article(F.col("word")))).alias("r")).distinct()
+        asked = concepts.select("concept", T.normalize(F.col("concept")).alias("c")).distinct().select("concept", F.explode(F.array("c", T.strip_article(F.col("c")))).alias("l")).distinct()
+        pairs = S.similar_pairs(asked.select("l"), forms.select("r"), CUTOFF).join(asked, "l").join(forms, "r")
+        best = pairs.groupBy("concept", "slug").agg(F.max(F.round("score", 9)).alias("score"))
+        return best.withColumn("r", F.row_number().over(Window.partitionBy("concept").orderBy(F.desc("score"), "slug"))).where("r = 1").select("concept", "slug", "score")
+
+    def negated(self, queries: DataFrame) -> DataFrame:
+        """(qid, slug, rest): the free-from category that a negation names: of the NEGATIONS in order, at its first place, the first of
+        the NEGATED_WORDS words behind it that names one; rest is the text without negation and words up to that one."""
+        each = None
+        for i, p in enumerate(NEGATIONS):
+            pattern = rf"(?is)^((?:.*?{_EDGE})??)({p})(?={_EDGE}|$)(.*)$"
+            part = queries.where(F.col("q").rlike(pattern)).select("qid", F.lit(i).alias("i"), F.regexp_extract("q", pattern, 1).alias("before"), F.regexp_extract("q", pattern, 3).alias("behind"))
+            each = part if each is None else each.unionByName(part)
+        words = each.select("qid", "i", "before", "behind", F.posexplode(F.slice(_words(F.col("behind")), 1, NEGATED_WORDS)).alias("at", "concept"))
+        found = words.join(self.free_from(words.select("concept")), "concept")
+        best = found.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("i", "at"))).where("r = 1")
+        return best.select("qid", "slug", F.concat("before", F.expr(r"regexp_replace(behind, concat('^(?:\\s*\\S+){', at + 1, '}'), '')")).alias("rest"))
+
+    def protected_words(self, queries: DataFrame) -> DataFrame:
+        """(qid, word): normalised words that by themselves hold an exact category phrase."""
+        words = queries.select("qid", F.explode(F.array_distinct(_words(F.col("q")))).alias("q"))
+        exact = exact_phrases(words.select(F.col("q").alias("qid"), "q").distinct(), self.phrases()).select(F.col("qid").alias("q"))
+        return words.join(exact, "q", "left_semi").select("qid", T.normalize(F.col("q")).alias("word"))
+
+    def leftover_brand(self, queries: DataFrame) -> DataFrame:
+        """(qid, slug, rest): the fuzzy brand of a text without its category; none if attested words run on longer than the brand's."""
+        found = self.fuzzy_brand(queries, self.protected_words(queries))
+        held = attested_window(self.index, queries.join(found.select("qid"), "qid", "left_semi")).select("qid", F.col("words").alias("held"))
+        return found.join(held, "qid", "left").where("held is null or held <= words").select("qid", "slug", "rest")
+
+    def parse(self, queries: DataFrame) -> DataFrame:
+        """(qid, category, brand, text): what every query asks for; text is what is left, null if nothing is.
+
+        A negation that names a free-from category settles the category. Else category and brand compete for the text: the brand
+        wins only with more words; the loser is looked for again in what the winner leaves. Prices are no part of it.
+        """
+        queries = cut(queries.select("qid", F.coalesce("q", F.lit("")).alias("q")))
+        no = cut(self.negated(queries))
+        rest = queries.join(no.select("qid"), "qid", "left_anti")
+        cat = cut(self.category(rest))
+        brand = cut(self.fuzzy_brand(rest).select("qid", "slug", "words", "rest"))
+        first = rest.join(cat.select("qid", F.col("words").alias("c")), "qid", "left").join(brand.select("qid", F.col("words").alias("b")), "qid", "left")
+        wins = cut(first.where(F.coalesce("b", F.lit(0)) > F.coalesce("c", F.lit(0))).select("qid"))
+        by_brand = brand.join(wins, "qid", "left_semi").select("qid", F.col("slug").alias("brand"), F.col("rest").alias("q"))
+        again = self.category(by_brand.select("qid", "q")).select("qid", F.col("slug").alias("category"), "rest")
+        one = by_brand.join(again, "qid", "left").select("qid", "category", "brand", F.coalesce("rest", "q").alias("text"))
+        settled = no.select("qid", F.col("slug").alias("category"), F.col("rest").alias("q"))
+        named = rest.join(wins, "qid", "left_anti").join(cat.select("qid", "slug", "rest"), "qid", "left")
+        by_category = cut(settled.unionByName(named.select("qid", F.col("slug").alias("category"), F.coalesce("rest", "q").alias("q"))))
+        more = self.leftover_brand(by_category.select("qid", "q")).select("qid", F.col("slug").alias("brand"), "rest")
+        two = by_category.join(more, "qid", "left").select("qid", "category", "brand", F.coalesce("rest", "q").alias("text"))
+        return one.unionByName(two).withColumn("text", F.nullif(F.btrim("text"), F.lit("")))
+
+    def brand_text(self, queries: DataFrame) -> DataFrame:
+        """(qid, slug): the brand that a text given as a brand means; attested words need STRICT against every name."""
+        return fuzzy_phrases(self.index, queries, self.brands, BRAND_WORDS).select("qid", "slug")
+
+    def category_hint(self, queries: DataFrame) -> DataFrame:
+        """(qid, slug): the category that a text given as one means: exact, else fuzzy without blocked words."""
+        exact = exact_phrases(queries, self.phrases()).select("qid", "slug")
+        return exact.unionByName(self.fuzzy_category(queries.join(exact.select("qid"), "qid", "left_anti"), blocked=()).select("qid", "slug"))

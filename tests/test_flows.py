@@ -97,15 +97,61 @@ def test_fusion_gate_and_vectors(spark):
     assert {(r.qid, r.id) for r in retrieval.vector_rank(v, q, gate=0.3).collect()} == {(1, 1), (1, 2)}
 
 
-def test_phrases(spark):
-    names = spark.createDataFrame([("milk", "Milk"), ("goat_milk", "Goat Milk"), ("cheese", "Cheese"), ("laban", "حليب طازج")], "slug string, phrase string")
-    q = spark.createDataFrame([(1, "cheese with goat milk"), (2, "chese"), (3, "milkshake"), (4, "حليب طازج كبير"), (5, ""), (6, None)], "qid long, q string")
-    assert {(r.qid, r.slug) for r in phrases.exact_phrases(q, names).collect()} == {(1, "goat_milk"), (4, "laban")}
-    rows = spark.createDataFrame([(i, "goat milk") for i in range(3)], "id long, name string")
-    index = retrieval.Index.build(rows, ["name"])
-    # goat milk is attested, but equal; the longer window wins
-    assert {(r.qid, r.slug, r.words) for r in phrases.fuzzy_phrases(index, q, names).collect()} >= {(2, "cheese", 1), (1, "goat_milk", 2)}
-    assert [(r.qid, r.words, r.support) for r in phrases.attested_window(index, q).collect()] == [(1, 2, 3)]
+def test_exact_phrases(spark):
+    names = spark.createDataFrame([("milk", "Milk"), ("goat_milk", "Goat Milk"), ("cheese", "Cheese"), ("laban", "حليب طازج"), ("sweet", "الحلوى"), ("meat", "Meat & Poultry"), ("long", "a b c d e f g h")], "slug string, phrase string")
+    texts = ["cheese with goat  MILK!", "chese", "milkshake", "حليب طازج كبير", "", None, "cheese milk", "حلوى حليب طازج", "Fresh meat & poultry now", "x a b c d e f g h", "goat, milk", "a milk, milk cheese"]
+    q = spark.createDataFrame(list(enumerate(texts)), "qid long, q string")
+    got = {r.qid: (r.slug, r.start, r.words, r.rest) for r in phrases.exact_phrases(q, names).collect()}
+    assert got == {
+        0: ("goat_milk", 12, 2, "cheese with !"), 3: ("laban", 0, 2, " كبير"), 6: ("milk", 7, 1, "cheese "), 7: ("laban", 5, 2, "حلوى "), 8: ("meat", 6, 3, "Fresh  now"), 9: ("long", 2, 8, "x "),
+        10: ("milk", 6, 1, "goat, "), 11: ("cheese", 13, 1, "a milk, milk "),
+    }
+
+
+@pytest.fixture(scope="module")
+def names(spark):
+    texts = ["frozen peas"] * 4 + ["tomato paste"] * 4 + ["juhayna milk"] * 4 + ["full cream cheese"] * 3 + ["aqua delta water", "oat drink", "gluten free bread", "pears soap", "pasta shells"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, name string")
+    categories = [("pasta", "Pasta"), ("frozen_meat", "Frozen Meat"), ("milk", "Milk"), ("cheese", "Cheese"), ("gluten_free", "Gluten Free Food"), ("detergent", "البسكويت")]
+    brands = [("pears", "Pears"), ("aqua", "Aqua"), ("aqua_delta", "Aqua Delta"), ("juhayna", "Juhayna"), ("milka", "Milka"), ("hero", "Hero")]
+    df = lambda r: spark.createDataFrame(r, "slug string, phrase string")
+    held = lambda r: spark.createDataFrame(r, "slug string, id long")
+    return phrases.Names(retrieval.Index.build(rows, ["name"]), df(categories), df(brands), held([("milk", i) for i in range(8, 12)]), held([("juhayna", i) for i in range(8, 12)]))
+
+
+def ask(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "qid long, q string")
+
+
+def test_evidence_protects_words(spark, names):
+    """A word of the corpus isn't taken for a name that only resembles it, a misspelt or exact name is."""
+    brand = {r.qid: (r.slug, r.words, r.rest) for r in names.fuzzy_brand(ask(spark, ["peas", "pear", "aqua delta still", "juhaina", "juhayna", "pears", "بدون pears", "wafer", ""])).collect()}
+    assert brand == {1: ("pears", 1, ""), 2: ("aqua_delta", 2, "still"), 3: ("juhayna", 1, ""), 4: ("juhayna", 1, ""), 5: ("pears", 1, ""), 6: ("pears", 1, "بدون")}
+    cat = {r.qid: r.slug for r in names.fuzzy_category(ask(spark, ["paste", "pastta", "frozen peas", "milka", "milks", "بسكوت", "البسكوت"])).collect()}
+    assert cat == {1: "pasta", 4: "milk", 5: "detergent", 6: "detergent"}
+    exact = names.brand_text(ask(spark, ["juhayna", "juhayn", "peas"])).collect()
+    assert {(r.qid, r.slug) for r in exact} == {(0, "juhayna"), (1, "juhayna")}
+
+
+def test_overlap_exempts(spark, names):
+    """milk is attested by documents that are members of the category, so a near name of it still counts; without members it doesn't."""
+    q, near = ask(spark, ["milk"]), spark.createDataFrame([("milk", "milky")], "slug string, phrase string")
+    assert [r.slug for r in phrases.fuzzy_phrases(names.index, q, near, 1, members=names.category_members).collect()] == ["milk"]
+    assert phrases.fuzzy_phrases(names.index, q, near, 1).collect() == []
+    held = spark.createDataFrame([(0, "milka")], "qid long, word string")
+    assert phrases.fuzzy_phrases(names.index, ask(spark, ["milka"]), near, 1, protected=held).collect() == []
+    assert [r.words for r in phrases.attested_window(names.index, ask(spark, ["big frozen peas", "peas tomato"])).collect()] == [2]
+
+
+def test_parse(spark, names):
+    texts = ["aqua delta milk", "cheese without glutn please", "juhayna", "pasta pears", "no sugar cheese", "", None, "!!", "notes on cheese"]
+    got = {r.qid: (r.category, r.brand, r.text) for r in names.parse(ask(spark, texts)).collect()}
+    assert got == {
+        0: ("milk", "aqua_delta", None), 1: ("gluten_free", None, "cheese  please"), 2: (None, "juhayna", None), 3: ("pasta", "pears", None), 4: ("cheese", None, "no sugar"),
+        5: (None, None, None), 6: (None, None, None), 7: (None, None, "!!"), 8: ("cheese", None, "notes on"),
+    }
+    assert {(r.qid, r.slug) for r in names.category_hint(ask(spark, ["Milk", "pastta", "zzz"])).collect()} == {(0, "milk"), (1, "pasta")}
+    assert {(r.qid, r.word) for r in names.protected_words(ask(spark, ["Milk, chocolate", "milk pears"])).collect()} == {(0, "milk"), (1, "milk")}
 
 
 def test_entry_point_names(spark):
