@@ -69,7 +69,7 @@ def _names(spark: SparkSession, d: str) -> phrases.Names:
     in_category = table(spark, d, "product_category").select("category_id", F.col("product_id").alias("id")).join(cats, "category_id").select("slug", "id").distinct()
     in_brand = product.where("brand_normalized is not null").select(F.col("brand_normalized").alias("slug"), "id").distinct()
     brands = table(spark, d, "brand_alias").join(brand, "canonical_brand_id").select("slug", F.col("raw_value").alias("phrase"))
-    return phrases.Names(retrieval.Index.build(product, NAMES), _category_names(spark, d), brands, in_category, in_brand)
+    return phrases.Names(retrieval.Index.build(product, NAMES), _category_names(spark, d), cut(brands), cut(in_category), cut(in_brand))
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
@@ -92,9 +92,13 @@ _PATTERN = "array_to_string(list_transform(w, lambda x: CASE WHEN x LIKE 'ال%'
 
 
 def _exact_sql(texts: str, names: str) -> str:
+    pieces = "regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}_]+|\\s+|[^\\p{{L}}\\p{{N}}_\\s]+')"
     return f"""WITH q AS ({texts}), ph AS (SELECT DISTINCT slug, list_filter(string_split_regex(lower(p), '\\s+'), lambda x: x <> '') AS w FROM ({names})),
-pt AS (SELECT slug, len(w) AS words, {_PATTERN} AS pat, CASE WHEN w[1] LIKE 'ال%' THEN substr(w[1], 3) ELSE w[1] END AS first_word FROM ph WHERE len(w) > 0),
-hit AS (SELECT qid, q, slug, words, pat, length(regexp_extract(q, '(?is)^((?:.*?{_EDGE})??)' || pat || '(?:{_EDGE}|$)', 1)) AS start FROM q JOIN pt ON contains(lower(q), first_word) AND regexp_matches(q, '(?is)(?:^|{_EDGE})' || pat || '(?:{_EDGE}|$)')),
+mask AS (SELECT slug, w, unnest(range(1 << len(w))) AS m FROM ph WHERE len(w) > 0),
+var0 AS (SELECT DISTINCT slug, len(w) AS words, array_to_string(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN w[i] LIKE 'ال%' AND length(w[i]) > 2 AND (m >> CAST(i - 1 AS INT)) & 1 = 1 THEN substr(w[i], 3) ELSE w[i] END), ' ') AS key FROM mask),
+var AS (SELECT *, len({pieces.format(x='key')}) AS n FROM var0), tp AS (SELECT qid, q, {pieces.format(x='q')} AS p FROM q), ti AS (SELECT qid, q, p, unnest(range(1, len(p) + 1)) AS i FROM tp),
+run AS (SELECT qid, q, i, n, length(array_to_string(p[1:i - 1], '')) AS start, array_to_string(p[i:i + n - 1], '') AS txt FROM ti JOIN (SELECT DISTINCT n FROM var) v ON i + n - 1 <= len(p) WHERE regexp_matches(p[i], '^[\\p{{L}}\\p{{N}}_]') AND regexp_matches(p[i + n - 1], '^[\\p{{L}}\\p{{N}}_]')),
+hit AS (SELECT qid, q, slug, words, min(start) AS start FROM run JOIN var ON var.n = run.n AND var.key = regexp_replace(lower(txt), '\\s+', ' ', 'g') GROUP BY ALL),
 best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY words DESC, CASE WHEN {IS_AR('q')} THEN start ELSE -start END, slug) AS r FROM hit)
 """
 
@@ -194,11 +198,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     asked = asked.unionByName(table(spark, d, "canonical_category").select((F.col("id") + 1000).alias("qid"), F.concat_ws(" ", F.lit("family pack"), "display_name_en").alias("q")))
     parsed = cut(names.parse(asked))
     rows = table(spark, d, "product").select("id", *NAMES, "sku", "url_key")
-    in_category = parsed.join(names.category_members.withColumnRenamed("slug", "category"), "category").select("qid", "id")
-    in_brand = parsed.join(names.brand_members.withColumnRenamed("slug", "brand"), "brand").select("qid", "id")
+    in_category = cut(parsed.join(names.category_members.withColumnRenamed("slug", "category"), "category").select("qid", "id"))
+    in_brand = cut(parsed.join(names.brand_members.withColumnRenamed("slug", "brand"), "brand").select("qid", "id"))
     ranked = retrieval.rank(names.index, parsed.where("text is not null").select("qid", F.col("text").alias("q")), rows)
     bare = in_category.union(in_brand).distinct().join(parsed.where("text is null").select("qid"), "qid", "left_semi").withColumn("score", F.lit(0.0))
-    found = ranked.unionByName(bare)
+    found = cut(ranked.unionByName(bare))
     for known, held in (("category", in_category), ("brand", in_brand)):
         has = parsed.where(F.col(known).isNotNull()).select("qid")
         found = found.join(has, "qid", "left_anti").unionByName(found.join(has, "qid", "left_semi").join(held, ["qid", "id"], "left_semi"))
