@@ -10,11 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from karwan.llm import looks
-from karwan.runtime import cut
+from karwan.runtime import cut, small
 
-# Additions that firms put round a name.
-BEFORE = ("by", "the", "brand", "new", "شركة", "ماركة", "مؤسسة", "علامة")
-AFTER = ("ltd", "llc", "inc", "co", "company", "group", "foods", "foods co", "food", "international", "est", "brand", "imported", "original", "1", "جروب", "للاغذيه", "للتجاره")
 # Digits that stand for a letter inside a word.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s"}
 #: Brands that must share an addition before it counts as one.
@@ -70,32 +67,40 @@ class Matcher:
             v=values,
         )
         self.words = cut(words)
+        # values that are a name as a whole are settled; only the others are taken apart
+        self.whole = cut(self.sql(
+            """SELECT DISTINCT v.value, v.n, n.id FROM (SELECT value, n, array_join(w, '') AS key FROM {w}) v JOIN {n} n ON v.key = n.key
+            UNION SELECT v.value, v.n, n.id FROM (SELECT value, n, array_join(array_sort(w), '') AS sorted FROM {w}) v JOIN {n} n ON v.sorted = n.sorted""",
+            w=self.words, n=self.names,
+        ))
+        # which words of a value tell brands apart: one flag a word
+        flagged = self.sql(
+            """SELECT value, n, any_value(w) AS w, transform(array_sort(collect_list(struct(at, told))), x -> x.told) AS told FROM (
+              SELECT v.value, v.n, v.w, v.at, t.word IS NOT NULL AS told FROM (SELECT value, n, w, posexplode(w) AS (at, word) FROM {w} LEFT ANTI JOIN {d} d ON d.value = {w}.value) v LEFT JOIN {t} t ON t.word = v.word)
+            GROUP BY value, n""",
+            w=self.words, d=self.whole, t=small(cut(self.telling())),
+        )
         longest = self.sql("SELECT coalesce(max(size(w)), 1) + 1 AS words FROM {n}", n=self.names)
         # windows of words: at most as many words as the longest name has, and one more; and the value as a whole
         self.windows = cut(self.sql(
             """SELECT value, n, array_join(slice(w, i + 1, m), '') AS key, array_join(slice(w, 1, i), ' ') AS pre, array_join(slice(w, i + m + 1, size(w)), ' ') AS suf,
-                 CASE WHEN m = size(w) THEN array_join(array_sort(w), '') END AS sorted
+                 exists(slice(told, 1, i), x -> x) AS pre_told, exists(slice(told, i + m + 1, size(w)), x -> x) AS suf_told
             FROM (SELECT *, explode(sequence(0, size(w) - m)) AS i FROM (SELECT *, explode(array_union(sequence(1, least(size(w), words)), array(size(w)))) AS m FROM {w} CROSS JOIN {l}))""",
-            w=self.words, l=longest,
+            w=flagged, l=longest,
         ))
 
     def exact(self) -> DataFrame:
-        """Windows that are a known name: (value, n, id, pre, suf)."""
-        return self.sql(
-            """SELECT w.value, w.n, n.id, w.pre, w.suf FROM {w} w JOIN {n} n ON w.key = n.key
-            UNION SELECT w.value, w.n, n.id, '', '' FROM {w} w JOIN {n} n ON w.sorted = n.sorted""",
-            w=self.windows, n=self.names,
-        )
+        """Windows, not whole values, that are a known name: (value, n, id, pre, suf, pre_told, suf_told)."""
+        return self.sql("SELECT w.value, w.n, n.id, w.pre, w.suf, w.pre_told, w.suf_told FROM {w} w JOIN {n} n ON w.key = n.key", w=self.windows, n=self.names)
 
     def additions(self, exact: DataFrame) -> DataFrame:
-        """(side, text) that stands before or after exact names of several brands, with the fixed ones; no telling words."""
-        fixed = ", ".join(f"('pre', '{x}')" for x in BEFORE) + ", " + ", ".join(f"('suf', '{x}')" for x in AFTER)
+        """(side, text) that stands before or after exact names of several brands, in all values; no telling words."""
         return self.sql(
             f"""SELECT side, text FROM (
-                SELECT 'suf' AS side, suf AS text, id FROM {{e}} WHERE pre = '' AND suf <> '' UNION ALL SELECT 'pre', pre, id FROM {{e}} WHERE suf = '' AND pre <> '')
-              GROUP BY side, text HAVING count(DISTINCT id) >= {LEARNT_FROM} AND NOT arrays_overlap(split(text, ' '), (SELECT collect_set(word) FROM {{t}}))
-            UNION SELECT * FROM VALUES {fixed} UNION SELECT 'pre', '' UNION SELECT 'suf', ''""",
-            e=exact, t=self.telling(),
+                SELECT 'suf' AS side, suf AS text, id FROM {{e}} WHERE pre = '' AND suf <> '' AND NOT suf_told UNION ALL SELECT 'pre', pre, id FROM {{e}} WHERE suf = '' AND pre <> '' AND NOT pre_told)
+              GROUP BY side, text HAVING count(DISTINCT id) >= {LEARNT_FROM}
+            UNION SELECT 'pre', '' UNION SELECT 'suf', ''""",
+            e=exact,
         )
 
     def telling(self) -> DataFrame:
@@ -103,12 +108,12 @@ class Matcher:
 
     def near(self, windows: DataFrame) -> DataFrame:
         """(value, usual, pre, suf, id, edits) for windows within the allowed edits of a name: the pigeonhole join."""
-        segments = self.sql(
+        segments = cut(self.sql(
             f"""SELECT id, key, len, k, i, p, substr(key, p + 1, l) AS seg, l FROM (
               SELECT *, cast(i * len div (k + 1) AS int) AS p, cast((i + 1) * len div (k + 1) - i * len div (k + 1) AS int) AS l FROM (
                 SELECT *, explode(sequence(0, k)) AS i FROM (SELECT DISTINCT id, key, length(key) AS len, {edits_sql('length(key)')} AS k FROM {{n}}) WHERE k > 0))""",
             n=self.names,
-        )
+        ))
         shapes = self.sql("SELECT DISTINCT len, k, i, p, l FROM {s}", s=segments)
         keys = self.sql("SELECT DISTINCT key FROM {w}", w=windows)
         probes = self.sql(
@@ -123,7 +128,7 @@ class Matcher:
               SELECT h.key, h.id, levenshtein(h.key, h.name, h.k) AS edits FROM (
                 SELECT DISTINCT p.key, s.id, s.key AS name, s.k FROM {p} p JOIN {s} s ON p.len = s.len AND p.i = s.i AND p.seg = s.seg) h)
             WHERE edits >= 0 GROUP BY key, id""",
-            p=probes, s=segments,
+            p=probes, s=small(segments),
         )
         return self.sql("SELECT w.value, w.usual, w.pre, w.suf, h.id, h.edits FROM {w} w JOIN {h} h ON w.key = h.key", w=windows, h=hits)
 
@@ -134,20 +139,19 @@ class Matcher:
         edits more, and only where none of them tells brands apart.
         """
         exact = cut(self.exact())
-        additions = cut(self.additions(exact))
-        telling = self.telling()
+        additions = small(cut(self.additions(exact)))
         clean = cut(self.sql(
             """SELECT e.value, e.id, CASE WHEN (a.text IS NOT NULL AND b.text IS NOT NULL) OR n.key IS NOT NULL THEN 0.0 ELSE 2.0 END AS score, length(e.pre) + length(e.suf) AS rest
             FROM {e} e LEFT JOIN {a} a ON a.side = 'pre' AND a.text = e.pre LEFT JOIN {a} b ON b.side = 'suf' AND b.text = e.suf
               LEFT JOIN {n} n ON n.id = e.id AND n.key = replace(concat(e.pre, e.suf), ' ', '')
-            WHERE (a.text IS NOT NULL AND b.text IS NOT NULL) OR n.key IS NOT NULL OR NOT arrays_overlap(split(concat_ws(' ', e.pre, e.suf), ' '), (SELECT collect_set(word) FROM {t}))""",
-            e=exact, a=additions, t=telling, n=self.names,
+            WHERE (a.text IS NOT NULL AND b.text IS NOT NULL) OR n.key IS NOT NULL OR NOT (e.pre_told OR e.suf_told)""",
+            e=exact, a=additions, n=self.names,
         ))
         open_ = self.sql(
             """SELECT w.value, w.key, w.pre, w.suf, a.text IS NOT NULL AND b.text IS NOT NULL AS usual
             FROM {w} w LEFT ANTI JOIN {c} done ON done.value = w.value LEFT JOIN {a} a ON a.side = 'pre' AND a.text = w.pre LEFT JOIN {a} b ON b.side = 'suf' AND b.text = w.suf
-            WHERE (a.text IS NOT NULL AND b.text IS NOT NULL) OR NOT arrays_overlap(split(concat_ws(' ', w.pre, w.suf), ' '), (SELECT collect_set(word) FROM {t}))""",
-            w=self.windows, a=additions, c=clean.where("score = 0"), t=telling,
+            WHERE (a.text IS NOT NULL AND b.text IS NOT NULL) OR NOT (w.pre_told OR w.suf_told)""",
+            w=self.windows, a=additions, c=clean.where("score = 0"),
         )
         near = self.near(cut(open_))
         return self.sql(
@@ -155,8 +159,9 @@ class Matcher:
               SELECT value, id, score, rank() OVER (PARTITION BY value ORDER BY score, rest) AS r FROM (
                 SELECT value, id, min(score) AS score, min_by(rest, score) AS rest FROM (
                   SELECT value, id, score, rest FROM {c} UNION ALL SELECT value, id, edits + CASE WHEN pre = '' AND suf = '' THEN 0.0 WHEN usual THEN 0.5 ELSE 2.0 END, length(pre) + length(suf) FROM {n})
-                GROUP BY value, id)) WHERE r = 1""",
-            c=clean, n=near,
+                GROUP BY value, id)) WHERE r = 1
+            UNION ALL SELECT value, id, 0.0 FROM {d}""",
+            c=clean, n=near, d=self.whole,
         )
 
 
