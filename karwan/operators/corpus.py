@@ -24,37 +24,47 @@ def base_frequency(tokens: DataFrame) -> DataFrame:
     return kept.groupBy(F.col("token").alias("word")).agg(F.count("*").alias("freq"))
 
 
-def vocabulary(raw: DataFrame) -> DataFrame:
-    """(word, freq) of all words(): one aggregation, cut, since all else about the corpus' words is computed from it."""
-    return cut(raw.groupBy(F.col("token").alias("word")).agg(F.count("*").alias("freq")))
+def spelled_words(rows: DataFrame, text_cols: list[str], id_col: str = "id") -> DataFrame:
+    """(id, pos, spelling): words() as they are spelled; what normalises to nothing (lines and stretching alone) is left out."""
+    found = lambda c: F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(f"({T.WORD})"), F.lit(1))
+    parts = F.filter(F.concat(*[found(c) for c in text_cols]), lambda x: ~x.rlike(r"^[_\x{640}]+$"))
+    return rows.select(F.col(id_col).alias("id"), F.posexplode(parts).alias("pos", "spelling"))
+
+
+def vocabulary(spelled: DataFrame) -> DataFrame:
+    """(spelling, token, freq) of all spelled_words(): one aggregation, cut, since all else about the corpus' words comes from it."""
+    counts = cut(spelled.groupBy("spelling").agg(F.count("*").alias("freq")))
+    return counts.select("spelling", T.normalize(F.col("spelling")).alias("token"), "freq")
 
 
 def base_words(vocabulary: DataFrame) -> DataFrame:
-    """base_frequency() from the vocabulary."""
-    return vocabulary.where(~T.is_arabic(F.col("word")) & ~F.col("word").rlike(r"^\p{Nd}+$"))
+    """(word, freq): base_frequency() from the vocabulary."""
+    tokens = vocabulary.groupBy(F.col("token").alias("word")).agg(F.sum("freq").alias("freq"))
+    return tokens.where(~T.is_arabic(F.col("word")) & ~F.col("word").rlike(r"^\p{Nd}+$"))
 
 
-def in_singular(raw: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """words() in the singular that the corpus knows better.
+def in_singular(spelled: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(id, pos, token): spelled_words() normalised and in the singular that the corpus knows better.
 
     Texts meet the vocabulary by a broadcast if that is small, which is counted. Else only the words that make up at least
     one in HOT words, which are HOT at most, are broadcast, and what is joined by a shuffle has no hot key.
     """
-    best = T.singulars(vocabulary, base_words(vocabulary)).withColumnRenamed("word", "token")
+    best = T.singulars(vocabulary.select(F.col("token").alias("word")).distinct(), base_words(vocabulary))
+    best = cut(vocabulary.select("spelling", F.col("token").alias("word")).join(best, "word").select("spelling", F.col("singular").alias("token")))
     one = small(best)
     if one is not best:
-        return raw.join(one, "token").select("id", "pos", F.col("singular").alias("token"))
+        return spelled.join(one, "spelling").select("id", "pos", "token")
     total = vocabulary.agg(F.sum("freq").alias("total"))
-    hot = vocabulary.join(F.broadcast(total)).where(F.col("freq") * HOT >= F.col("total")).select(F.col("word").alias("token"))
-    marked = raw.join(F.broadcast(best.join(F.broadcast(hot), "token", "left_semi").withColumnRenamed("singular", "hot")), "token", "left")
-    rest = marked.where("hot is null").join(best, "token").select("id", "pos", F.col("singular").alias("token"))
+    hot = vocabulary.join(F.broadcast(total)).where(F.col("freq") * HOT >= F.col("total")).select("spelling")
+    marked = spelled.join(F.broadcast(best.join(F.broadcast(hot), "spelling", "left_semi").withColumnRenamed("token", "hot")), "spelling", "left")
+    rest = marked.where("hot is null").join(best, "spelling").select("id", "pos", "token")
     return marked.where("hot is not null").select("id", "pos", F.col("hot").alias("token")).unionByName(rest)
 
 
 def tokenize(rows: DataFrame, text_cols: list[str], id_col: str = "id") -> DataFrame:
     """words() in the singular that the corpus knows better."""
-    raw = words(rows, text_cols, id_col)
-    return in_singular(raw, vocabulary(raw))
+    spelled = spelled_words(rows, text_cols, id_col)
+    return in_singular(spelled, vocabulary(spelled))
 
 
 def term_frequency(tokens: DataFrame) -> DataFrame:

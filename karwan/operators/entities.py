@@ -55,7 +55,8 @@ def complete_linkage(edges: DataFrame) -> DataFrame:
     """(node, cluster): greedy complete linkage inside each connected component; cluster is its smallest node.
 
     edges: (a, b, score) at or over the cutoff; pairs that are missing lie under it. The pair of clusters with the highest
-    smallest cross score is merged first, ties by their smallest nodes. The work is per component, whose size the cutoff bounds.
+    smallest cross score is merged first, ties by their smallest nodes. One task works on a component; chains of near values can make
+    a component long, and the work grows with the square of its links at worst.
     """
     parts = components(edges.select("a", "b"))
     tagged = edges.join(parts.select(F.col("node").alias("a"), "component"), "a")
@@ -144,3 +145,65 @@ def canonical_values(values: DataFrame, cutoff: float = 90.0, sure: float = 97.0
     return out.unionByName(values.where(junk).select("value", "n", F.lit("junk_excluded").alias("method"), F.lit(None).cast("string").alias("cluster"), F.lit(True).alias("needs_review")))
 
 
+def canonical_categories(categories: DataFrame, links: DataFrame, cutoff: float = 85.0) -> DataFrame:
+    """(id, norm, method, group_id, slug, display_en, display_ar, confidence, needs_review), one row a category.
+
+    categories: (id, name_en, name_ar), one row an id; links: (category_id). Test entries are junk, equal normalised names are
+    merged, and what is left is linked completely over the names' sorted words. Of a group the category with most links stands
+    for it, ties by the smaller id; confidence is the least similarity to it. Junk and linked ones need a review. group_id is the
+    group's smallest id, null without a group.
+    """
+    n = links.groupBy(F.col("category_id").alias("id")).agg(F.count("*").alias("n"))
+    rows = categories.select("id", "name_en", "name_ar", T.normalize_latin(F.coalesce("name_en", F.lit(""))).alias("norm")).join(n, "id", "left").na.fill(0, ["n"])
+    rows = cut(rows.withColumn("junk", T.is_test_category(F.col("norm"))))
+    live = rows.where("not junk")
+    lead = F.max(F.struct("n", (-F.col("id")).alias("m"), "name_en", "name_ar", "norm"))
+    sizes = live.groupBy("norm").agg(F.count("*").alias("k"), F.min("id").alias("group_id"), lead.alias("lead"))
+    merged = live.join(sizes.where("k > 1"), "norm").select("id", "norm", F.lit("exact_auto_merge").alias("method"), "group_id", "lead", F.lit(100.0).alias("confidence"))
+    single = live.join(sizes.where("k = 1").select("norm"), "norm", "left_semi")
+    linked = complete_linkage(cut(similar_keys(single.select(F.col("norm").alias("key")), cutoff)))
+    many = linked.join(linked.groupBy("cluster").agg(F.count("*").alias("k")).where("k > 1"), "cluster").select(F.col("node").alias("norm"), "cluster")
+    grouped = single.join(many, "norm")
+    tops = grouped.groupBy("cluster").agg(F.min("id").alias("group_id"), lead.alias("lead"))
+    scored = grouped.join(tops, "cluster").withColumn("s", S.token_sort_ratio(F.col("norm"), F.col("lead.norm")))
+    least = scored.groupBy("cluster").agg(F.round(F.min("s"), 1).alias("confidence"))
+    fuzzy = scored.join(least, "cluster").select("id", "norm", F.lit("fuzzy_candidate").alias("method"), "group_id", "lead", "confidence")
+    alone = single.join(many.select("norm"), "norm", "left_anti").select("id", "norm", F.lit("singleton_unique").alias("method"), F.lit(None).cast("long").alias("group_id"), F.struct("n", (-F.col("id")).alias("m"), "name_en", "name_ar", "norm").alias("lead"), F.lit(100.0).alias("confidence"))
+    named = merged.unionByName(fuzzy).unionByName(alone)
+    out = named.select("id", "norm", "method", F.col("group_id").cast("long").alias("group_id"), T.slugify(F.col("lead.name_en")).alias("slug"), F.col("lead.name_en").alias("display_en"), F.col("lead.name_ar").alias("display_ar"), "confidence", (F.col("method") == "fuzzy_candidate").alias("needs_review"))
+    junk = rows.where("junk").select("id", "norm", F.lit("junk_excluded").alias("method"), F.lit(None).cast("long").alias("group_id"), *[F.lit(None).cast("string").alias(c) for c in ("slug", "display_en", "display_ar")], F.lit(None).cast("double").alias("confidence"), F.lit(True).alias("needs_review"))
+    return out.unionByName(junk)
+
+
+def apply_reviews(rows: DataFrame) -> DataFrame:
+    """(id, outcome, slug, display_en, display_ar) of reviewed canonical_categories() with name_en, name_ar and decision.
+
+    outcome is assigned, junk or pending. Junk follows its own decision: approved it is junk, rejected it stands alone. A linked
+    group is merged if all its rows are approved, falls apart if any is rejected, and waits otherwise. What stands alone gets its
+    slug with its id. pending rows make require_decided() raise before anything is written.
+    """
+    d = F.lower(F.btrim(F.coalesce("decision", F.lit(""))))
+    group = rows.where("method = 'fuzzy_candidate' and needs_review").groupBy("group_id").agg(F.min(d == "approve").alias("all_yes"), F.max(d == "reject").alias("any_no"))
+    j = rows.join(group, "group_id", "left")
+    linked = (F.col("method") == "fuzzy_candidate") & F.col("needs_review")
+    gate = F.when(F.col("method") == "junk_excluded", review_gate(F.col("needs_review"), F.col("decision"))).when(linked & F.col("all_yes"), "apply").when(linked & F.col("any_no"), "reject").when(linked, "pending").otherwise("apply")
+    j = j.withColumn("gate", gate)
+    junk = F.col("method") == "junk_excluded"
+    alone = (F.col("gate") == "reject") | (F.col("method") == "singleton_unique")
+    base = F.when(F.col("method") == "singleton_unique", F.col("slug")).otherwise(F.col("norm"))
+    shown = lambda own, lead: F.when(F.col("outcome") == "assigned", F.when(alone, F.col(own)).otherwise(F.col(lead)))
+    j = j.withColumn("outcome", F.when(F.col("gate") == "pending", "pending").when(junk & (F.col("gate") == "apply"), "junk").otherwise("assigned"))
+    slug = F.when(F.col("outcome") == "assigned", F.when(alone, F.concat_ws("_", base, F.col("id").cast("string"))).otherwise(F.col("slug")))
+    return j.select("id", "outcome", slug.alias("slug"), shown("name_en", "display_en").alias("display_en"), shown("name_ar", "display_ar").alias("display_ar"))
+
+
+def survivors(pairs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, survivor): keys(key, script) that pairs(a, b) of one record link, directly or over others, become one.
+
+    The smallest Latin key of a component survives, the smallest of all if it has none; a key without a link is its own. (The
+    first in order of arrival is not defined on a cluster.)
+    """
+    parts = components(pairs.select("a", "b")).withColumnRenamed("node", "key")
+    tagged = keys.select("key", "script").distinct().join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    best = tagged.groupBy("component").agg(F.coalesce(F.min(F.when(F.col("script") == "latin", F.col("key"))), F.min("key")).alias("survivor"))
+    return tagged.join(best, "component").select("key", "survivor").distinct()

@@ -60,14 +60,14 @@ class Index:
     @classmethod
     def build(cls, rows: DataFrame, text_cols: list[str], id_col: str = "id") -> Index:
         """Two passes over the texts: one for the vocabulary, one that writes the terms of each document in one shuffle by id."""
-        raw = corpus.words(rows, text_cols, id_col)
-        words = corpus.vocabulary(raw)
-        tokens = corpus.in_singular(raw, words).select("id", "token").repartition("id")
+        spelled = corpus.spelled_words(rows, text_cols, id_col)
+        words = corpus.vocabulary(spelled)
+        tokens = corpus.in_singular(spelled, words).select("id", "token").repartition("id")
         length = F.sum("tf").over(Window.partitionBy("id"))
         tf = cut(corpus.term_frequency(tokens).withColumn("length", length))  # all else is computed from it
         n = tf.groupBy("id").agg(F.first("length").alias("length"))
         docs = rows.select(F.col(id_col).alias("id")).distinct().join(n, "id", "left").na.fill(0, ["length"])
-        return cls(tf, cut(corpus.document_frequency(tf)), docs, cut(corpus.statistics(docs)), corpus.base_words(words))
+        return cls(tf, cut(corpus.document_frequency(tf)), docs, cut(corpus.statistics(docs)), cut(corpus.base_words(words)))
 
     def terms(self, queries: DataFrame) -> DataFrame:
         """(qid, pos, token) of queries(qid, q)."""

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from karwan.functions import similarity as S
 from karwan.functions import text as T
 from karwan.operators import corpus, entities, recommend, retrieval
-from karwan.plans.texts import NAMES, NORM, TOKENS, WORDS_SQL, ratio_sql
+from karwan.plans.texts import LATIN, NAMES, NORM, TOKENS, WORDS_SQL, ratio_sql
 from karwan.runtime import cut, table
 
 QUERIES: dict = {}
@@ -365,6 +365,44 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return entities.canonical_values(cut(entities.brand_values(_products(spark, d), ["brand_raw_en", "brand_raw_ar"])))
 
 
+def _one_category(spark: SparkSession, d: str) -> DataFrame:
+    last = table(spark, d, "category").where("id is not null").groupBy("id").agg(F.max(F.struct("updated_at", "name_en", "name_ar")).alias("v"))
+    return last.select("id", "v.name_en", "v.name_ar")
+
+
+_CAN1_SQL = ratio_sql(f"""one AS (SELECT id, name_en, name_ar, {LATIN("coalesce(name_en, '')")} AS norm FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, name_en DESC NULLS LAST, name_ar DESC NULLS LAST) AS rn FROM category WHERE id IS NOT NULL) WHERE rn = 1),
+n AS (SELECT category_id AS id, count(*) AS n FROM product_category GROUP BY 1), r AS (SELECT one.*, coalesce(n.n, 0) AS n, regexp_matches(norm, '^test[0-9]*$') AS junk FROM one LEFT JOIN n USING (id)),
+s AS (SELECT norm FROM r WHERE NOT junk GROUP BY 1 HAVING count(*) = 1), pairs AS (SELECT DISTINCT x AS a, y AS b FROM (SELECT array_to_string(list_sort(string_split(norm, ' ')), ' ') AS x FROM s) JOIN (SELECT array_to_string(list_sort(string_split(norm, ' ')), ' ') AS y FROM s) ON x <= y AND abs(length(x) - length(y)) * 100 <= 15 * (length(x) + length(y)))""")
+
+
+# the linkage itself is tested against a loop; here what is merged exactly, and whether a name that is left has any near one
+@query("can1_category_methods", _CAN1_SQL + """SELECT r.id, CASE WHEN junk THEN 'junk_excluded' WHEN s.norm IS NULL THEN 'exact_auto_merge' WHEN EXISTS (SELECT 1 FROM ratio WHERE a <> b AND ratio >= 85 AND (a = array_to_string(list_sort(string_split(r.norm, ' ')), ' ') OR b = array_to_string(list_sort(string_split(r.norm, ' ')), ' '))) THEN 'near' ELSE 'singleton_unique' END AS method FROM r LEFT JOIN s ON s.norm = r.norm""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = _one_category(spark, d)
+    found = cut(entities.canonical_categories(rows, table(spark, d, "product_category")))
+    single = found.where("method in ('fuzzy_candidate', 'singleton_unique')")
+    near = entities.similar_keys(single.select(F.col("norm").alias("key")), 85.0)
+    near = near.select(F.explode(F.array("a", "b")).alias("norm")).distinct().withColumn("near", F.lit(True))
+    kind = F.when((F.col("method") == "fuzzy_candidate") | F.col("near"), "near").otherwise(F.col("method"))
+    return found.join(near, "norm", "left").select("id", kind.alias("method"))
+
+
+@query("can1_can6_apply_reviews")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = _one_category(spark, d)
+    found = entities.canonical_categories(rows, table(spark, d, "product_category"))
+    # decisions as a reviewer would give them: groups by their smallest id
+    decision = F.when(F.coalesce("group_id", "id") % 3 == 0, "reject").otherwise("approve")
+    return entities.apply_reviews(found.join(rows, "id").withColumn("decision", decision))
+
+
+@query("can5_survivors", f"WITH RECURSIVE {_CO_SQL}, dual AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e), reach AS (SELECT a AS node, min(b) AS low FROM dual GROUP BY 1), r USING KEY (node) AS (SELECT node, low FROM reach UNION SELECT x.node, min(x.low) FROM (SELECT dual.b AS node, r.low FROM r JOIN dual ON dual.a = r.node) x JOIN recurring.r o ON o.node = x.node WHERE x.low < o.low GROUP BY x.node), s AS (SELECT low, coalesce(min(CASE WHEN NOT regexp_matches(node, '[\\x{{600}}-\\x{{6FF}}\\x{{750}}-\\x{{77F}}]') THEN node END), min(node)) AS survivor FROM r GROUP BY 1) SELECT node AS key, survivor FROM r JOIN s USING (low)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    e = cut(_products(spark, d).where("trim(brand_raw_en) <> '' and trim(brand_raw_ar) <> ''").select(F.lower(F.trim("brand_raw_en")).alias("a"), F.trim("brand_raw_ar").alias("b")).distinct())
+    keys = e.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    return entities.survivors(e, keys.withColumn("script", F.when(T.is_arabic(F.col("key")), "arabic").otherwise("latin")))
+
+
 @query("can4_review_gate", "SELECT id, CASE WHEN NOT coalesce(confidence < 95, false) THEN 'apply' WHEN slug LIKE 'a%' THEN 'apply' WHEN slug LIKE 'b%' THEN 'reject' ELSE 'pending' END AS gate FROM canonical_brand")
 def _(spark: SparkSession, d: str) -> DataFrame:
     decision = F.when(F.col("slug").startswith("a"), "Approve ").when(F.col("slug").startswith("b"), "reject")
