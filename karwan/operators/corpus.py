@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from karwan.functions import text as T
@@ -97,3 +97,12 @@ def ngrams(rows: DataFrame, text_col: str, sizes: tuple[int, ...] = (2, 3), supp
     runs = F.flatten(F.array(*[of(n) for n in sizes]))
     each = rows.select(F.col(id_col).alias("id"), w.alias("w")).select("id", F.explode(F.array_distinct(runs)).alias("r"))
     return each.groupBy("r.ngram", "r.n").agg(F.count_distinct("id").alias("support")).where(F.col("support") >= support)
+
+
+def sample_with_forced(rows: DataFrame, size: int, forced: Column, seed: int = 42, id_col: str = "id") -> DataFrame:
+    """At most `size` rows with a column forced: those that must be in it first, then others, both in the order of a digest of seed and id.
+
+    rows: one row an id. Too many forced ones are sampled too. It is one top-k, without a sort of all rows; null counts as not forced.
+    """
+    place = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"-{seed}")))
+    return rows.withColumn("forced", F.coalesce(forced, F.lit(False))).orderBy(F.desc("forced"), place, id_col).limit(size)

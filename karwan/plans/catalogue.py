@@ -226,6 +226,22 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "product_category").join(cats, "category_id").groupBy("slug").agg(F.count_distinct("product_id").alias("n_products"))
 
 
+@query("jn5_products_with_vectors", "SELECT DISTINCT p.id, p.name_en, p.brand_normalized, len(e.embedding) AS width FROM product p JOIN product_embeddings e ON e.product_id = p.id")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    # deliveries of one id are folded on both sides before the join, so that none multiplies the other
+    p = _products(spark, d).select("id", "name_en", "brand_normalized").distinct()
+    widths = table(spark, d, "product_embeddings").where("product_id is not null").select(F.col("product_id").alias("id"), F.when(F.col("embedding").isNotNull(), F.size("embedding")).cast("long").alias("width")).distinct()
+    return p.join(widths, "id")
+
+
+@query("emb2_forced_sample", "SELECT id, forced FROM (SELECT id, forced, row_number() OVER (ORDER BY forced DESC, md5(CAST(id AS VARCHAR) || '-42'), id) AS r FROM (SELECT id, coalesce(bool_or(contains(lower(name_en || ' ' || name_ar), 'milk') OR contains(name_ar, 'حليب') OR contains(name_ar, 'لبن')), false) AS forced FROM product GROUP BY id)) WHERE r <= 500")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    # the size of the sample is the operator's own parameter
+    has = F.bool_or(F.lower(F.concat_ws(" ", "name_en", "name_ar")).rlike("milk|حليب|لبن"))
+    rows = _products(spark, d).groupBy("id").agg(has.alias("milk"))
+    return corpus.sample_with_forced(rows, 500, F.col("milk")).select("id", "forced")
+
+
 @query("jn6_win3_star_argmax", "WITH s AS (SELECT c.canonical_category_id AS cat, p.brand_normalized AS brand, count(*) AS n FROM product_category pc JOIN product p ON p.id = pc.product_id JOIN category c ON c.id = pc.category_id WHERE p.brand_normalized IS NOT NULL AND c.canonical_category_id IS NOT NULL GROUP BY 1, 2) SELECT cat, brand, n FROM (SELECT *, row_number() OVER (PARTITION BY cat ORDER BY n DESC, brand) AS r FROM s) WHERE r = 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
     cats = table(spark, d, "category").where("canonical_category_id is not null").select(F.col("id").alias("category_id"), F.col("canonical_category_id").alias("cat"))

@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from karwan.operators import corpus as C
 from karwan.operators import recommend, retrieval
 
 
@@ -38,3 +41,13 @@ def test_fitted_clusters_part_the_vectors(spark):
     v = spark.createDataFrame([(i, [float(i % 2), float(i % 2) + 0.01 * i]) for i in range(20)], "id long, vector array<double>")
     got = {r.id: r.cluster for r in recommend.assign(v, recommend.fit_centroids(v, 2)).collect()}
     assert len({got[i] for i in range(0, 20, 2)}) == len({got[i] for i in range(1, 20, 2)}) == 1 and got[0] != got[1]
+
+
+def test_forced_rows_come_first(spark):
+    rows = spark.createDataFrame([(i, i % 10 == 0 if i % 7 else None) for i in range(100)], "id long, must boolean")
+    must = {i for i in range(100) if i % 10 == 0 and i % 7}
+    got = {r.id: r.forced for r in C.sample_with_forced(rows, 20, F.col("must")).collect()}
+    assert len(got) == 20 and {i for i, f in got.items() if f} == must
+    assert got == {r.id: r.forced for r in C.sample_with_forced(rows.repartition(5), 20, F.col("must")).collect()}
+    assert {r.id for r in C.sample_with_forced(rows, 3, F.col("must")).collect()} < must
+    assert C.sample_with_forced(rows.where("id < 0"), 3, F.col("must")).collect() == [] and C.sample_with_forced(rows, 500, F.col("must")).count() == 100
