@@ -129,6 +129,32 @@ def test_recall_of_cells_at_every_depth(level):
     assert len(near) > 2_000 and np.mean(met) >= 0.95
 
 
+def test_near_pairs_of_loose_groups_meet_in_the_deepest_cells(spark, monkeypatch):
+    """As a table of millions has them: cells named by DEEPEST codes, and groups whose own spread outweighs the codes."""
+    rng = np.random.default_rng(12)
+    means = unit(rng.normal(size=(60, 64)))
+    one = unit(means[rng.integers(0, 60, 6_000)] + 0.1 * rng.normal(size=(6_000, 64)))
+    other = unit(one + rng.uniform(0.02, 0.042, (6_000, 1)) * rng.normal(size=one.shape))
+    x = np.concatenate([one, other]).astype(np.float32)
+    near = {i + 1 for i in np.flatnonzero((x[:6_000] * x[6_000:]).sum(1) >= 0.92)}
+    monkeypatch.setattr(ann, "level_for", lambda codes, n: ann.DEEPEST)
+    rows = spark.createDataFrame(pa.table({"id": np.arange(1, len(x) + 1), "vector": list(x)}))
+    got = {r.id for r in ann.neighbours(rows, 3, 0.92, 64).where("other_id = id + 6000").collect()}
+    assert len(near) > 5_000 and len(near & got) / len(near) >= 0.985
+
+
+def test_large_groups_give_the_pairs_of_the_tables(data, monkeypatch):
+    q = Quantiser.train(data, ann.STAGES, ann.CODEWORDS)
+    codes = q.encode(data, 8)[0][:, 0]
+    rows = [(c, 0, i, codes[i].tobytes(), float(np.linalg.norm(q.decode(codes[i]))), i % 3 < 2) for c in (1, 2) for i in range(c, 900, 2)]
+    batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.float32(), pa.bool_()))], ["cell", "block", "id", "codes", "norm", "kept"])
+    got = []
+    for least in (ann.WHOLE_GROUP, 10_000):
+        monkeypatch.setattr(ann, "WHOLE_GROUP", least)
+        got.append(sorted((a, b) for r in ann._pairs_in_cells(q, 0.9)(iter([batch])) for a, b in zip(r["a"].to_pylist(), r["b"].to_pylist())))
+    assert got[0] == got[1] and len(got[0]) > 1_000
+
+
 def test_empty_and_single(spark):
     none = spark.createDataFrame([], "id long, vector array<float>")
     assert ann.neighbours(none, 5, 0.9, WIDTH).collect() == []
