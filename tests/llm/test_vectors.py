@@ -217,6 +217,22 @@ def test_small_groups_are_found_whatever_lies_beside_them(spark, loose):
     assert len(got) == len(sizes)
 
 
+def test_the_chance_cosine_counts_every_row(spark):
+    """Rows of a narrower kind, too few for a sample to show, still shift it; the order of the rows doesn't."""
+    rng = np.random.default_rng(13)
+    x = unit(rng.normal(size=(30_000, 16))).astype(np.float32)
+    rows = lambda v: spark.createDataFrame(pa.table({"vector": list(v)}))
+    got = mixture.spread(rows(x), 16, len(x), 5)
+    cos = np.sort((x[:3_000] @ x.T).ravel())
+    want = cos[[len(cos) // 2, int(0.16 * len(cos))]]
+    assert np.allclose(got, [want[0], want[0] - want[1]], atol=0.003)
+    means = unit(rng.normal(size=(3, 16)))
+    ordered = np.concatenate([unit(m + 0.1 * rng.normal(size=(8_000, 16))) for m in means]).astype(np.float32)
+    assert np.allclose(mixture.spread(rows(ordered), 16, len(ordered), 5), mixture.spread(rows(ordered[rng.permutation(len(ordered))]), 16, len(ordered), 5), atol=0.02)
+    half = mixture.pair_counts(x[:20_000]) + mixture.pair_counts(x[20_000:])
+    assert half.sum() == len(x) * mixture.PARTNERS
+
+
 def test_cells_find_what_a_sample_does_not_show(monkeypatch):
     rng = np.random.default_rng(9)
     means = unit(rng.normal(size=(8, 64)))
