@@ -217,6 +217,21 @@ def test_small_groups_are_found_whatever_lies_beside_them(spark, loose):
     assert len(got) == len(sizes)
 
 
+def test_all_vectors_are_fitted_again_only_when_the_search_has_ended(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    sizes = [500] * 2 + [12] * 14
+    means = unit(rng.normal(size=(len(sizes), 64)))
+    x = np.concatenate([unit(rng.normal(size=(20_000, 64))), *[around(rng, m, n, 0.8) for m, n in zip(means, sizes)]]).astype(np.float32)
+    x = x[rng.permutation(len(x))]
+    monkeypatch.setattr(mixture, "SAMPLE_ROWS", 1_000)
+    monkeypatch.setattr(mixture, "TURN_SEEDS", 6)  # many turns
+    fitted, over = mixture._fitted, []
+    monkeypatch.setattr(mixture, "_fitted", lambda vectors, *rest: (over.append(vectors), fitted(vectors, *rest))[1])
+    mix = mixture.fit(spark.createDataFrame(pa.table({"id": np.arange(len(x)), "vector": list(x)})))[1]
+    assert ((mix.direction @ means.T).max(0) >= 0.9).all()
+    assert len(over) >= 5 and sum(v is over[0] for v in over) <= 2
+
+
 def test_the_chance_cosine_counts_every_row(spark):
     """Rows of a narrower kind, too few for a sample to show, still shift it; the order of the rows doesn't."""
     rng = np.random.default_rng(13)
