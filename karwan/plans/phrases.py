@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from karwan.functions import similarity as S
 from karwan.functions import text as T
 from karwan.operators.retrieval import Index
-from karwan.runtime import cut
+from karwan.runtime import cut, small
 
 # Least similarity, that of words with evidence of their own, documents that make such evidence, and the share of
 # them that a name must hold to be exempt from it.
@@ -91,15 +91,38 @@ def exact_phrases(queries: DataFrame, phrases: DataFrame) -> DataFrame:
     return best.select("qid", "slug", F.col("start").cast("int").alias("start"), "words", rest.alias("rest"))
 
 
-def documents_of(index: Index, found: DataFrame) -> DataFrame:
-    """(parts, id): the documents that hold the first token of every word of each window found(parts); none if a word has no token."""
-    distinct = found.select("parts").distinct().withColumn("key", F.array_join("parts", " "))
-    first = distinct.select("parts", "key", F.posexplode(F.transform("parts", lambda w: F.get(T.raw_tokens(w), 0))).alias("at", "token"))
-    whole = first.groupBy("key").agg(F.count_if(F.col("token").isNull()).alias("none")).where("none = 0").select("key")
-    terms = T.trim_plurals(first.join(whole, "key", "left_semi").select("key", "token"), index.base).distinct()
-    n = terms.groupBy("key").agg(F.count("*").alias("n"))
-    docs = terms.join(index.tf.select("id", "token"), "token").groupBy("key", "id").agg(F.count("*").alias("k")).join(n, "key").where("k = n")
-    return docs.join(distinct, "key").select("parts", "id")
+def _held_words(index: Index, found: DataFrame) -> DataFrame:
+    """(parts, key): windows found(parts) with their distinct words as the corpus has them, rarest first; without those that hold a word it lacks."""
+    distinct = found.select("parts").distinct().withColumn("window", F.array_join("parts", " "))
+    each = distinct.select("parts", "window", F.explode("parts").alias("word"))
+    words = each.select("word").distinct().withColumn("token", F.get(T.raw_tokens(F.col("word")), 0))
+    known = cut(T.trim_plurals(words.where("token is not null"), index.base).join(index.df, "token").select("word", "token", "df"))
+    met = each.join(small(known), "word").groupBy("window").agg(F.first("parts").alias("parts"), F.count("*").alias("n"), F.array_sort(F.collect_set(F.struct("df", "token"))).alias("t"))
+    return met.where("n = size(parts)").select("parts", F.transform("t", lambda x: x["token"]).alias("key"))
+
+
+def holders(index: Index, keys: DataFrame) -> DataFrame:
+    """(key, id): the documents that hold all words of each key(key), an array of words of the corpus in one order for all, rarest first.
+
+    The beginnings of all keys are a trie. A document goes down it word by word of its own, so the work is the beginnings that
+    documents hold, not the documents of every single word.
+    """
+    keys = cut(keys.select("key").distinct().withColumn("n", F.size("key")))
+    longest = keys.agg(F.max("n")).first()[0] or 0  # one number: words of a window
+    wanted = small(cut(keys.select(F.explode("key").alias("token")).distinct().join(index.df, "token").select("token", "df")))
+    docs = index.tf.join(wanted, "token").groupBy("id").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("t"))
+    state = docs.select("id", F.lit("").alias("begun"), F.transform("t", lambda x: x["token"]).alias("rest"))
+    done = None
+    for n in range(1, longest + 1):
+        nodes = keys.where(F.col("n") >= n).select(F.array_join(F.slice("key", 1, n), " ").alias("node"), (F.col("n") == n).alias("ends"), (F.col("n") > n).alias("goes"))
+        nodes = cut(nodes.groupBy("node").agg(F.max("ends").alias("ends"), F.max("goes").alias("goes")))
+        step = state.select("id", "begun", "rest", F.posexplode("rest").alias("at", "word"))
+        step = step.select("id", F.concat_ws(" ", F.nullif("begun", F.lit("")), "word").alias("node"), F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"))
+        step = cut(step.join(small(nodes, 20_000), "node"))
+        whole = step.where("ends").select(F.split("node", " ").alias("key"), "id")
+        done = whole if done is None else done.unionByName(whole)
+        state = step.where("goes and size(rest) > 0").select("id", F.col("node").alias("begun"), "rest")
+    return keys.select("key", F.lit(None).cast(index.tf.schema["id"].dataType).alias("id")).limit(0) if done is None else done
 
 
 def fuzzy_phrases(
@@ -132,14 +155,15 @@ def fuzzy_phrases(
         hits = hits.join(kept, "qid", "left").withColumn("strict", F.coalesce(F.exists("parts", lambda x: F.array_contains("own", T.normalize(x))), F.lit(False))).drop("own")
         need = F.when(F.col("strict"), STRICT).otherwise(CUTOFF)
     if evidence:
-        docs = cut(documents_of(index, hits))
-        n = docs.groupBy("parts").agg(F.count("*").alias("n")).where(F.col("n") >= ATTESTED)
-        hits = hits.join(n, "parts", "left")
+        keyed = cut(_held_words(index, hits))
+        docs = cut(holders(index, keyed))
+        n = cut(docs.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= ATTESTED).join(keyed, "key"))
+        hits = cut(hits.join(n, "parts", "left"))
         share = F.lit(0.0)
         if members is not None:
-            pairs = hits.where("n is not null").select("parts", "slug").distinct().join(docs, "parts")
-            both = pairs.join(members.select("slug", "id").distinct(), ["slug", "id"]).groupBy("parts", "slug").agg(F.count("*").alias("both"))
-            hits = hits.join(both, ["parts", "slug"], "left")
+            pairs = hits.where("n is not null").select("key", "slug").distinct().join(docs, "key")
+            both = pairs.join(members.select("slug", "id").distinct(), ["slug", "id"]).groupBy("key", "slug").agg(F.count("*").alias("both"))
+            hits = hits.join(both, ["key", "slug"], "left")
             share = F.coalesce("both", F.lit(0)) / F.col("n")
         need = F.when(F.col("n").isNotNull() & (share < OVERLAP), STRICT).otherwise(need)
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("words"), "start", "slug")
@@ -150,8 +174,10 @@ def fuzzy_phrases(
 
 def attested_window(index: Index, queries: DataFrame) -> DataFrame:
     """(qid, start, words, support): the longest run of two words or more whose words ATTESTED documents hold together; the earliest of equals."""
-    w = windows(queries, EVIDENCE_WORDS).where("words >= 2")
-    held = w.join(documents_of(index, w).groupBy("parts").agg(F.count("*").alias("support")), "parts").where(F.col("support") >= ATTESTED)
+    w = cut(windows(queries, EVIDENCE_WORDS).where("words >= 2").select("qid", "start", "words", "parts"))
+    keyed = cut(_held_words(index, w))
+    support = holders(index, keyed).groupBy("key").agg(F.count("*").alias("support")).where(F.col("support") >= ATTESTED)
+    held = w.join(keyed.join(support, "key").select("parts", "support"), "parts")
     return held.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("words"), "start"))).where("r = 1").select("qid", "start", "words", "support")
 
 

@@ -159,3 +159,17 @@ def test_entry_point_names(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert os.path.isdir("/root/testdata/sf0.001") is False or e.entry(spark).count() >= 0
+
+
+def test_holders_follow_the_words_of_documents(spark, names):
+    """As brute force has it, and without a row for every document of a common word."""
+    rows = [(i, " ".join(w for j, w in enumerate(("salt", "pepper", "mint", "lemon")) if i >> j & 1) + (" box" if i % 3 else "")) for i in range(1, 64)]
+    index = retrieval.Index.build(spark.createDataFrame(rows, "id long, name string"), ["name"])
+    asked = [["salt", "box"], ["box"], ["lemon", "salt", "mint"], ["salt", "salt"], ["salt", "unheard"], ["--", "salt"], ["mint", "pepper", "lemon", "box"]]
+    found = spark.createDataFrame([(a,) for a in asked], "parts array<string>")
+    keyed = phrases._held_words(index, found)
+    got = {}
+    for r in keyed.join(phrases.holders(index, keyed), "key").collect():
+        got.setdefault(tuple(r.parts), []).append(r.id)
+    want = {tuple(a): [i for i, t in rows if set(a) <= set(t.split())] for a in asked}
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
