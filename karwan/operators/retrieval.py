@@ -145,13 +145,20 @@ def with_context(index: Index, words: DataFrame, found: DataFrame) -> DataFrame:
 
     words: (qid, token) are those other words; their documents are the ones that hold all of them, or any if none holds all.
     """
-    known = words.distinct().join(index.df.select("token"), "token")
-    n = known.groupBy("qid").agg(F.count("*").alias("n_words"))
-    docs = known.join(index.tf, "token").groupBy("qid", "id").agg(F.count("*").alias("k")).join(n, "qid")
-    some = docs.groupBy("qid").agg(F.max(F.col("k") == F.col("n_words")).alias("all_met"))
-    context = docs.join(some, "qid").where(~F.col("all_met") | (F.col("k") == F.col("n_words"))).select("qid", "id")
-    support = found.select("qid", "candidate").distinct().join(index.tf.select(F.col("token").alias("candidate"), "id"), "candidate").join(context, ["qid", "id"]).groupBy("qid", "candidate").agg(F.count("*").alias("support"))
-    return found.join(support, ["qid", "candidate"], "left").na.fill(0, ["support"]).join(context.select("qid").distinct().withColumn("has_context", F.lit(True)), "qid", "left").na.fill(False, ["has_context"])
+    asked = words.distinct().join(index.df.select("token"), "token").groupBy("qid").agg(F.array_sort(F.collect_set("token")).alias("key"))
+    asked = cut(asked.join(found.select("qid").distinct(), "qid", "left_semi"))
+    # equal words have equal documents: these are looked up once, however many queries ask for them
+    keys = cut(asked.select("key").distinct().select(F.monotonically_increasing_id().alias("k_id"), "key"))
+    known = keys.select("k_id", F.size("key").alias("n_words"), F.explode("key").alias("token"))
+    docs = known.join(index.tf.select("token", "id"), "token").groupBy("k_id", "id").agg(F.count("*").alias("k"), F.first("n_words").alias("n_words"))
+    docs = cut(docs)
+    some = docs.groupBy("k_id").agg(F.max(F.col("k") == F.col("n_words")).alias("all_met"))
+    context = docs.join(some, "k_id").where(~F.col("all_met") | (F.col("k") == F.col("n_words"))).select("k_id", "id")
+    of = cut(asked.join(keys, "key").select("qid", "k_id"))
+    wanted = cut(found.select("qid", "candidate").distinct().join(of, "qid").select("k_id", "candidate").distinct())
+    support = wanted.join(index.tf.select(F.col("token").alias("candidate"), "id"), "candidate").join(context, ["k_id", "id"]).groupBy("k_id", "candidate").agg(F.count("*").alias("support"))
+    # a query whose words the corpus knows has context: every word of the corpus has documents
+    return found.join(of.withColumn("has_context", F.lit(True)), "qid", "left").na.fill(False, ["has_context"]).join(support, ["k_id", "candidate"], "left").na.fill(0, ["support"]).drop("k_id")
 
 
 def select_best(found: DataFrame, margin: int = 0) -> DataFrame:

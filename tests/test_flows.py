@@ -173,3 +173,14 @@ def test_holders_follow_the_words_of_documents(spark, names):
         got.setdefault(tuple(r.parts), []).append(r.id)
     want = {tuple(a): [i for i, t in rows if set(a) <= set(t.split())] for a in asked}
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+
+
+def test_context_of_equal_words_is_looked_up_once(spark, names):
+    rows = [(i, ("hill milk" if i % 2 else "hill farm juice") + (" rare" if i == 6 else "")) for i in range(200)]
+    index = retrieval.Index.build(spark.createDataFrame(rows, "id long, name string"), ["name"])
+    words = spark.createDataFrame([(q, w) for q in range(300) for w in ("hill", "farm")] + [(300, "rare"), (300, "milk"), (302, "nothing")], "qid long, token string")
+    found = spark.createDataFrame([(q, c, 90.0, 100) for q in range(303) for c in ("milk", "juice")], "qid long, candidate string, score double, df long")
+    got = {(r.qid, r.candidate): (r.support, r.has_context) for r in retrieval.with_context(index, words, found).collect()}
+    assert len(got) == 606 and set(got[q, "milk"] for q in range(300)) == {(0, True)} and set(got[q, "juice"] for q in range(300)) == {(100, True)}
+    assert got[300, "milk"] == (100, True) and got[300, "juice"] == (1, True)  # no document holds both: any counts
+    assert got[301, "milk"] == got[302, "milk"] == (0, False)
