@@ -32,7 +32,7 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
     return indel_ratio(sorted_words(a), sorted_words(b))
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame, cutoff: float, few: bool = False) -> DataFrame:
     """(l, r, score) for all strings l of left(l) and r of right(r) with an Indel ratio of at least cutoff.
 
     Lossless and without a cross join: at a ratio of c, strings of n and m characters differ by at most
@@ -40,8 +40,10 @@ def similar_pairs(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame
     is one, the i-th, that is unharmed with exactly i edits before it, so its place in l is shifted by at most i, in i's
     parity, and by so much that D - i edits can make up the rest. An equality join on segments finds it; levenshtein() with
     that bound, which never exceeds the Indel distance, drops most of what is found before the exact score is computed.
-    Null and empty strings match nothing; repeated strings count once.
+    Null and empty strings match nothing; repeated strings count once. With few strings r, some thousands, their segments are
+    broadcast, so that those of l aren't shuffled.
     """
+    held = F.broadcast if few else lambda x: x
     if not 200 / 3 < cutoff <= 100:
         raise ValueError("cutoff must lie over two thirds and be at most 100")
     c = cutoff / 100
@@ -52,11 +54,11 @@ def similar_pairs(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame
     shapes = segs.select("n", "i", "p", "len").distinct()
     l = left.where("l is not null and l <> ''").select("l").distinct().withColumn("m", F.char_length("l"))  # noqa: E741
     span = l.withColumn("n", F.explode(F.sequence(F.ceil(F.col("m") * F.lit(c / (2 - c)) - 1e-9).cast("int"), F.floor(F.col("m") * F.lit((2 - c) / c) + 1e-9).cast("int"))))
-    places = span.withColumn("most", most(F.col("m") + F.col("n"))).join(shapes, "n").where("i <= most")
+    places = span.withColumn("most", most(F.col("m") + F.col("n"))).join(held(shapes), "n").where("i <= most")
     places = places.withColumn("from", F.expr("greatest(-i, m - n - (most - i), -p)")).withColumn("to", F.expr("least(i, m - n + (most - i), m - len - p)")).where("`to` >= `from`")
     shift = F.explode(F.sequence("from", "to"))
     probes = places.withColumn("by", shift).where("pmod(by - i, 2) = 0").select("l", "m", "n", "most", "i", F.expr("substr(l, p + by + 1, len)").alias("seg"))
-    found = probes.join(segs.select("r", "n", "i", "seg"), ["n", "i", "seg"]).select("l", "r", "most").distinct()
+    found = probes.join(held(segs.select("r", "n", "i", "seg")), ["n", "i", "seg"]).select("l", "r", "most").distinct()
     near = found.where(F.expr("levenshtein(l, r, most) >= 0"))
     return near.withColumn("score", indel_ratio(F.col("l"), F.col("r"))).where(F.col("score") >= cutoff - 1e-9).select("l", "r", "score")
 

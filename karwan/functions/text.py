@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column, DataFrame
@@ -42,19 +43,39 @@ def _tidy(c: Column) -> Column:
     return F.btrim(F.regexp_replace(c, r"\s+", " "), F.lit(EDGES))
 
 
+def fold_latin(c: Column) -> Column:
+    """normalize_latin() but for blanks and edges."""
+    return F.lower(compatible(c))
+
+
+def fold_arabic(c: Column) -> Column:
+    """normalize_arabic() but for blanks and edges."""
+    return F.translate(F.regexp_replace(compatible(c), MARKS, ""), "أإآٱى", "ااااي")
+
+
 def normalize_latin(c: Column) -> Column:
-    return _tidy(F.lower(compatible(c)))
+    return _tidy(fold_latin(c))
 
 
 def normalize_arabic(c: Column) -> Column:
     """Without vowel marks and stretching, with one alef and one yeh; case is kept."""
-    return _tidy(F.translate(F.regexp_replace(compatible(c), MARKS, ""), "أإآٱى", "ااااي"))
+    return _tidy(fold_arabic(c))
 
 
 def normalize(c: Column) -> Column:
     return F.when(is_arabic(c), normalize_arabic(c)).otherwise(normalize_latin(c))
 
 
+def normalized(value: str) -> str:
+    """normalize() of one fixed value, so that a plan holds the result instead of the expression."""
+    value = re.sub("[\uFEF5-\uFEFC]", "لا", value).translate(str.maketrans(*compatibility_table()))
+    if re.search("[\u0600-\u06FF\u0750-\u077F]", value):
+        value = re.sub("[\u064B-\u0652\u0670\u0640]", "", value).translate(str.maketrans("أإآٱى", "ااااي"))
+    else:
+        value = value.lower()
+    return re.sub(r"[ \t\n\x0b\f\r]+", " ", value).strip(EDGES)
+
+
 def raw_tokens(c: Column) -> Column:
     """The words of a text in order, each normalised by its own script; empty ones are dropped."""
     return F.filter(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"({WORD})"), F.lit(1)), normalize), lambda x: x != "")

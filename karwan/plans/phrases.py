@@ -6,6 +6,7 @@ text without what was matched; a query that matches nothing has no row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,8 @@ from karwan.runtime import cut, small
 # Least similarity, that of words with evidence of their own, documents that make such evidence, and the share of
 # them that a name must hold to be exempt from it.
 CUTOFF, STRICT, ATTESTED, OVERLAP = 80.0, 95.0, 3, 0.1
+# Fixed value: names at most whose pieces are broadcast.
+FEW = 5_000
 # Words of a window at most, for brands, categories and evidence.
 BRAND_WORDS, CATEGORY_WORDS, EVIDENCE_WORDS = 3, 6, 4
 # Windows that are never a brand.
@@ -50,16 +53,49 @@ def _words(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda x: x != "")
 
 
+def _normal(values: tuple[str, ...]) -> Column:
+    return F.array(*[F.lit(T.normalized(v)) for v in values])
+
+
 def _among(c: Column, values: tuple[str, ...]) -> Column:
-    return F.array_contains(F.array(*[T.normalize(F.lit(v)) for v in values]), c) if values else F.lit(False)
+    return F.array_contains(_normal(values), c) if values else F.lit(False)
+
+
+def _forms(bare: Callable[[Column], Column]) -> Column:
+    """The phrase with its leading articles and, if that differs, without."""
+    p = F.col("phrase")
+    return F.when(bare(p) == p, F.array(p)).otherwise(F.array(p, bare(p)))
+
+
+def _spans(queries: DataFrame, longest: int, own: bool = False) -> DataFrame:
+    """(qid, w, start, words, phrase): windows() with all words of the text; own: beside them its words as each normalises by itself.
+
+    Words are normalised once a text and only put together for its windows: the script of a whole window decides which of
+    a word's two forms counts.
+    """
+    q = F.coalesce("q", F.lit(""))
+    text = queries.select("qid", q.alias("q"), _words(q).alias("w"), _words(T.fold_latin(q)).alias("latin"), T.is_arabic(q).alias("mixed"))
+    text = text.withColumn("arabic", F.when(F.col("mixed"), F.transform("w", T.fold_arabic))).withColumn("which", F.when(F.col("mixed"), F.transform("w", T.is_arabic)))
+    edges = F.lit(T.EDGES)
+    kept = ["qid", "w", "latin", "arabic", "which"]
+    if own:
+        text = text.withColumn("own", F.when(F.col("mixed"), F.transform("w", T.normalize)).otherwise(F.transform("latin", lambda x: F.btrim(x, edges))))
+        kept.append("own")
+    each = text.where("size(w) > 0").select(*kept, F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("start"))
+    each = each.select(*kept, "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("start")))).alias("words"))
+    of = lambda c: F.slice(c, F.col("start") + 1, F.col("words"))
+    arabic = F.array_join(F.filter(of("arabic"), lambda x: x != ""), " ")
+    phrase = F.btrim(F.when(F.col("which").isNotNull() & F.array_contains(of("which"), True), arabic).otherwise(F.array_join(of("latin"), " ")), edges)
+    return each.select("qid", "w", "start", "words", phrase.alias("phrase"), *(["own"] if own else [])).where("phrase <> ''")
+
+
+def _parts() -> Column:
+    return F.slice("w", F.col("start") + 1, F.col("words"))
 
 
 def windows(queries: DataFrame, longest: int) -> DataFrame:
     """(qid, start, words, parts, phrase): every run of at most `longest` words of queries(qid, q), as typed and normalised as a whole."""
-    each = queries.select("qid", _words(F.col("q")).alias("w")).select("qid", "w", F.posexplode("w").alias("start", "x"))
-    each = each.select("qid", "w", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("start")))).alias("words"))
-    parts = each.select("qid", "start", "words", F.slice("w", F.col("start") + 1, F.col("words")).alias("parts"))
-    return parts.withColumn("phrase", T.normalize(F.array_join("parts", " "))).where("phrase <> ''")
+    return _spans(queries, longest).select("qid", "start", "words", _parts().alias("parts"), "phrase")
 
 
 def exact_phrases(queries: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -136,19 +172,30 @@ def fuzzy_phrases(
     * so does, with evidence, a window that ATTESTED documents or more hold, but not against a name whose members(slug, id) are at
       least the share OVERLAP of those documents; without members no name is exempt;
     * with articles a window and a phrase are also compared without leading articles, and the better score counts.
-    The best score wins, then the longer window, the earlier one and the slug.
+    The best score wins, then the longer window, the earlier one and the slug. Queries with a true column `plain` meet only phrases
+    with one.
     """
-    w = windows(queries, longest).where(~_among(F.col("phrase"), blocked))
+    w = _spans(queries, longest, bool(excluded)).where(~_among(F.col("phrase"), blocked))
     if excluded:
-        w = w.where(~F.exists("parts", lambda x: _among(T.normalize(x), excluded)))
-    w = cut(w)
-    known = cut(phrases.select("slug", T.normalize(F.col("phrase")).alias("r")).where("r <> ''").distinct())
-    scores = S.similar_pairs(w.select(F.col("phrase").alias("l")), known.select("r"), CUTOFF)
+        w = w.where(~F.arrays_overlap(F.slice("own", F.col("start") + 1, F.col("words")), _normal(excluded))).drop("own")
+    known = phrases.select("slug", T.normalize(F.col("phrase")).alias("r"), "plain" if "plain" in phrases.columns else F.lit(True).alias("plain"))
+    known = cut(known.where("r <> ''").groupBy("slug", "r").agg(F.max("plain").alias("plain")))
+    have = known.agg(F.count("*").alias("n"), F.max(F.char_length("r")).alias("m")).first()
+    # texts give a row for every window, so windows are made twice instead of kept: for what may be similar to a name, and for what is
+    bare = lambda c: F.when(F.contains(c, F.lit("ال")), T.strip_article(c)).otherwise(c)
+    asked = w.select("phrase").where(F.char_length("phrase") <= (have.m or 0) * (200 - CUTOFF) / CUTOFF + 1 + 2 * longest * articles).distinct()
+    names = known.select("slug", "plain", F.lit(0).alias("kind"), "r")
     if articles:
-        bare_l, bare_r = w.select("phrase", T.strip_article(F.col("phrase")).alias("l")).distinct(), known.select(F.col("r").alias("name"), T.strip_article(F.col("r")).alias("r")).distinct()
-        bare = S.similar_pairs(bare_l.select("l"), bare_r.select("r"), CUTOFF).join(bare_l, "l").join(bare_r, "r").select(F.col("phrase").alias("l"), F.col("name").alias("r"), "score")
-        scores = scores.unionByName(bare).groupBy("l", "r").agg(F.max("score").alias("score"))
-    hits = cut(w.join(scores.withColumnRenamed("l", "phrase"), "phrase").join(known, "r").groupBy("qid", "start", "words", "parts", "slug").agg(F.max(F.round("score", 9)).alias("score")))
+        asked = asked.select(F.explode(_forms(bare)).alias("phrase"))
+        names = names.unionByName(known.select("slug", "plain", F.lit(1).alias("kind"), bare(F.col("r")).alias("r")))
+    names = cut(names)
+    scores = S.similar_pairs(asked.select(F.col("phrase").alias("l")), names.select("r"), CUTOFF, few=have.n <= FEW)
+    scores = cut(scores.join(small(names, FEW), "r").groupBy("l", "kind", "slug", "plain").agg(F.max(F.round("score", 9)).alias("score")))
+    spot = w.withColumn("l", F.explode(_forms(bare)) if articles else F.col("phrase")).join(small(scores, 100_000), "l")
+    spot = spot.where(F.when(F.col("kind") == 0, F.col("l") == F.col("phrase")).otherwise(F.col("l") == bare(F.col("phrase"))))
+    if "plain" in queries.columns:
+        spot = spot.join(queries.where("plain").select("qid", F.lit(True).alias("only")), "qid", "left").where("plain or only is null")
+    hits = cut(spot.groupBy("qid", "start", "words", _parts().alias("parts"), "slug").agg(F.max("score").alias("score")))
     need = F.lit(CUTOFF)
     if protected is not None:
         kept = protected.groupBy("qid").agg(F.collect_set("word").alias("own"))  # words of one query
@@ -158,7 +205,7 @@ def fuzzy_phrases(
         keyed = cut(_held_words(index, hits))
         docs = cut(holders(index, keyed))
         n = cut(docs.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= ATTESTED).join(keyed, "key"))
-        hits = cut(hits.join(n, "parts", "left"))
+        hits = cut(hits.join(small(n, 50_000), "parts", "left"))
         share = F.lit(0.0)
         if members is not None:
             pairs = hits.where("n is not null").select("key", "slug").distinct().join(docs, "key")

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from karwan.functions import text as T
 from karwan.operators import retrieval
 from karwan.plans import phrases
 from karwan.sources import dump, files
@@ -184,3 +185,25 @@ def test_context_of_equal_words_is_looked_up_once(spark, names):
     assert len(got) == 606 and set(got[q, "milk"] for q in range(300)) == {(0, True)} and set(got[q, "juice"] for q in range(300)) == {(100, True)}
     assert got[300, "milk"] == (100, True) and got[300, "juice"] == (1, True)  # no document holds both: any counts
     assert got[301, "milk"] == got[302, "milk"] == (0, False)
+
+
+def test_windows_normalise_as_a_whole(spark):
+    """A window put together from its words is what normalising its text gives, whatever its scripts, blanks and signs."""
+    texts = ["Milk، حَليب ـ  FOO", " a\u2003B\u00a0ﺣﻠﻴﺐ ", "ـ ـ", ".,- -x-", None, "", "ΑΣ ΣΑ İX ﻻ إلى ﻻ", "_ ,x. Ｆｕｌｌ"]
+    parts = [(i, a, n, " ".join(t.split()[a : a + n])) for i, t in enumerate(texts) if t for a in range(len(t.split())) for n in (1, 2, 3) if a + n <= len(t.split())]
+    want = spark.createDataFrame(parts, "qid long, start int, words int, t string").withColumn("phrase", T.normalize(F.col("t"))).where("phrase <> ''")
+    got = phrases.windows(ask(spark, texts), 3).withColumn("t", F.array_join("parts", " "))
+    key = lambda df: sorted((r.qid, r.start, r.words, r.t, r.phrase) for r in df.collect())
+    assert key(got) == key(want)
+    fixed = [*phrases.BRAND_BLOCKED, *phrases.CATEGORY_BLOCKED, *phrases.FREE_MARKS, " .Ｆｕ  LL-", "ﻻ أَمــى X"]
+    assert [r.n for r in spark.createDataFrame([(i, v) for i, v in enumerate(fixed)], "i long, v string").select("i", T.normalize(F.col("v")).alias("n")).orderBy("i").collect()] == [T.normalized(v) for v in fixed]
+
+
+def test_windows_of_texts_are_not_kept(spark, names, monkeypatch):
+    """What is written grows with what is similar to a name, not with the windows of all texts."""
+    kept, write = [], phrases.cut
+    monkeypatch.setattr(phrases, "cut", lambda df: [c := write(df), kept.append(c.count())][0])
+    texts = [f"w{i} w{i + 1} w{i + 2} pastta w{i + 3} w{i + 4}" for i in range(60)]
+    got = names.fuzzy_category(ask(spark, texts)).collect()
+    assert {(r.qid, r.slug, r.start, r.words) for r in got} == {(i, "pasta", 3, 1) for i in range(60)}
+    assert kept and max(kept) < 60 * 21 / 4
