@@ -114,12 +114,15 @@ def exact_phrases(queries: DataFrame, phrases: DataFrame) -> DataFrame:
     known = phrases.select("slug", _words(F.lower("phrase")).alias("w")).where("size(w) > 0").distinct()
     known = known.select("slug", F.size("w").alias("words"), F.explode(F.aggregate("w", F.array(F.lit("")), spell)).alias("key"))
     known = cut(known.withColumn("n", F.size(pieces(F.col("key")))).distinct())
-    longest = known.agg(F.max("n")).first()[0] or 0  # one number
+    sizes = F.array(*[F.lit(r.n) for r in known.select("n").distinct().collect()]).cast("array<int>")  # one number a length
     texts = queries.select("qid", F.coalesce("q", F.lit("")).alias("q")).withColumn("p", pieces(F.col("q")))
-    at = texts.select("qid", "q", "p", F.posexplode("p").alias("i", "x")).where(F.col("x").rlike(r"^[\p{L}\p{N}_]"))
-    runs = at.select("qid", "q", F.char_length(F.array_join(F.slice("p", 1, F.col("i")), "")).alias("start"), F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("p") - F.col("i")))).alias("n"), "p", "i")
-    runs = runs.withColumn("text", F.array_join(F.slice("p", F.col("i") + 1, F.col("n")), "")).drop("p", "i").withColumn("key", F.regexp_replace(F.lower("text"), r"\s+", " "))
-    hits = runs.join(known, ["key", "n"]).where(F.col("text").rlike(r"[\p{L}\p{N}_]$"))
+    # blanks are made one once a text, so that a run is only put together
+    texts = texts.withColumn("even", F.transform("p", lambda x: F.when(F.btrim(x, F.lit(" \t\n\x0b\f\r")) == "", " ").otherwise(x)))
+    at = texts.select("qid", "q", "p", "even", F.posexplode("p").alias("i", "x")).where(F.col("x").rlike(r"^[\p{L}\p{N}_]")).drop("x")
+    runs = at.withColumn("n", F.explode(sizes)).where("i + n <= size(p)")
+    hits = runs.withColumn("key", F.lower(F.array_join(F.slice("even", F.col("i") + 1, F.col("n")), ""))).join(small(known, 20_000), ["key", "n"])
+    hits = hits.withColumn("start", F.char_length(F.array_join(F.slice("p", 1, F.col("i")), ""))).withColumn("text", F.array_join(F.slice("p", F.col("i") + 1, F.col("n")), ""))
+    hits = hits.where(F.col("text").rlike(r"[\p{L}\p{N}_]$"))
     first = hits.groupBy("qid", "slug", "words", "q").agg(F.min(F.struct("start", "text")).alias("m")).select("qid", "slug", "words", "q", "m.*")
     side = F.when(T.is_arabic(F.col("q")), F.col("start")).otherwise(-F.col("start"))
     best = first.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("words"), side, "slug"))).where("r = 1")
@@ -255,11 +258,14 @@ class Names:
     def category(self, queries: DataFrame) -> DataFrame:
         """(qid, slug, words, rest): the exact category, else the fuzzy one. A singular alias yields to a fuzzy name with more words."""
         exact = cut(exact_phrases(queries, self.phrases()).select("qid", "slug", "words", "rest"))
-        alias = exact.join(self.aliases().where("singular").select("slug").distinct(), "slug", "left_semi")
-        real = self.categories.select("slug", "phrase").unionByName(self.aliases().where("not singular").select("slug", "phrase"))
-        longer = self.fuzzy_category(queries.join(alias.select("qid"), "qid", "left_semi"), real).select("qid", "slug", "words", "rest")
-        longer = longer.join(alias.select("qid", F.col("words").alias("had")), "qid").where("words > had").drop("had")
-        other = self.fuzzy_category(queries.join(exact.select("qid"), "qid", "left_anti")).select("qid", "slug", "words", "rest")
+        alias = exact.join(self.aliases().where("singular").select("slug").distinct(), "slug", "left_semi").select("qid", F.col("words").alias("had"))
+        # both kinds of text are compared in one go: one with a singular alias meets no singular aliases again
+        mine = self.categories.select("slug", "phrase", F.lit(True).alias("plain")).unionByName(self.aliases().select("slug", "phrase", (~F.col("singular")).alias("plain")))
+        asked = queries.select("qid", "q").join(exact.select("qid", F.lit(True).alias("met")), "qid", "left").join(alias.select("qid", F.lit(True).alias("plain")), "qid", "left")
+        asked = cut(asked.where("met is null or plain").select("qid", "q", F.coalesce("plain", F.lit(False)).alias("plain")))
+        found = cut(self.fuzzy_category(asked, mine).select("qid", "slug", "words", "rest"))
+        longer = found.join(alias, "qid").where("words > had").drop("had")
+        other = found.join(exact.select("qid"), "qid", "left_anti")
         return exact.join(longer.select("qid"), "qid", "left_anti").unionByName(longer).unionByName(other)
 
     def free_from(self, concepts: DataFrame) -> DataFrame:

@@ -207,3 +207,13 @@ def test_windows_of_texts_are_not_kept(spark, names, monkeypatch):
     got = names.fuzzy_category(ask(spark, texts)).collect()
     assert {(r.qid, r.slug, r.start, r.words) for r in got} == {(i, "pasta", 3, 1) for i in range(60)}
     assert kept and max(kept) < 60 * 21 / 4
+
+
+def test_category_compares_all_texts_in_one_go(spark, names, monkeypatch):
+    """A singular alias yields to a longer name only; both kinds of text meet the names once."""
+    runs, fuzzy = [], phrases.fuzzy_phrases
+    monkeypatch.setattr(phrases, "fuzzy_phrases", lambda *a, **k: runs.append(1) or fuzzy(*a, **k))
+    texts = ["جبنة", "frozen meet جبنة", "pastta جبنة", "pastta", "zzzz", "لحمة مجمدة", "cheese frozen meet", "جبن جبنه"]
+    got = {r.qid: (r.slug, r.words, r.rest) for r in names.category(ask(spark, texts)).collect()}
+    assert got == {0: ("cheese", 1, ""), 1: ("frozen_meat", 2, "جبنة"), 2: ("cheese", 1, "pastta "), 3: ("pasta", 1, ""), 5: ("meat", 1, " مجمدة"), 6: ("cheese", 1, " frozen meet"), 7: ("cheese", 1, " جبنه")}
+    assert len(runs) == 1
